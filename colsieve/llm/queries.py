@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import bpe, minhash
 from .common import table
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded, and decoded from its ids; digests of both."""
+    out = bpe.tokenize(table(spark, sf_dir, "documents"), bpe.default_vocabulary(), decode=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of documents on 2-word shingles at Jaccard 0.8."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
 }
 
