@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash
+from . import bpe, exactdedup, minhash, mixing, sharding
 from .common import table
 
 
@@ -20,7 +20,26 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 24 shards of near equal bytes, equal texts together."""
+    return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=24)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents mixed to weights 5, 2, 1 by source, at most three epochs."""
+    out = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), epochs=3)
+    return out.select("doc_id", "size", "source_size", "target", "taken", "times", "extra")
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicates of documents: half of them as a snapshot, the other half as a new batch."""
+    return exactdedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_exact_dedup": op8_exact_dedup,
+    "op7_mixing": op7_mixing,
+    "op4_sharding": op4_sharding,
     "op2_bpe": op2_bpe,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
 }
