@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -81,3 +82,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that are no longer referenced, before the next large stage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

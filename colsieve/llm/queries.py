@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdedup, minhash, mixing, sharding
+from . import bpe, exactdedup, minhash, mixing, sharding, substring
 from .common import table
 
 
@@ -36,7 +36,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words that a document with a smaller doc_id has too, removed from documents."""
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), window=50)
+
+
 QUERIES = {
+    "op9_substring_dedup": op9_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op7_mixing": op7_mixing,
     "op4_sharding": op4_sharding,
