@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdedup, minhash, mixing, sharding, substring
+from . import bpe, exactdedup, langid, lattice, minhash, mixing, sharding, substring, toxicity
 from .common import table
 
 
@@ -41,7 +41,25 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), window=50)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document, from the labelled ones."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of embeddings at cosine 0.95 and their components."""
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out."""
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op5_lattice_near_dedup": op5_lattice_near_dedup,
+    "op10_language_id": op10_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op7_mixing": op7_mixing,
