@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdedup, langid, lattice, minhash, mixing, sharding, substring, toxicity
+from . import bpe, exactdedup, langid, lattice, minhash, mixing, sharding, substring, toxicity, urlfilter
 from .common import table
 
 
@@ -56,7 +56,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by rules, else by segmented words and naive Bayes."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op6_url_filter": op6_url_filter,
     "op1_toxicity": op1_toxicity,
     "op5_lattice_near_dedup": op5_lattice_near_dedup,
     "op10_language_id": op10_language_id,
