@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -84,6 +85,18 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, n: int):
+    """At most n rows in an Arrow batch of what is executed inside: bounds a batch of rows that hold long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of frames that are no longer referenced, before the next large stage."""
     gc.collect()
