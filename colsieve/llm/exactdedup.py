@@ -23,8 +23,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import discard, written
+from .common import written
 from .text import mixed, slices
 
 _U = np.uint64
@@ -195,3 +196,32 @@ def exact_duplicates(docs: DataFrame, is_new: str | None = None) -> DataFrame:
     stays = rows.where("doc_id <=> keep_id").groupBy("digest").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("stays"))
     out = rows.join(stays, "row", "left")
     return out.select("doc_id", "keep_id", "group_size", F.coalesce("stays", F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns unchanged, that ``exact_duplicates`` keeps: one of each group of equal texts.
+
+    Rows to drop are broadcast while there are at most ``MOST_BROADCAST`` of them, else the join is shuffled.
+    """
+    flags = written(exact_duplicates(docs).select(F.col("doc_id").alias("_of"), "kept", F.col("text_sha256").alias("_sha")), "ed-flags")
+    per_text = flags.groupBy("_of", "_sha").agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
+    lost = written(per_text.where("not kept").select("_of", "_sha"), "ed-lost")
+    repeated = per_text.where("kept and times > 1").select("_of", "_sha")
+    schema = T.StructType([T.StructField("_doc", docs.schema), T.StructField("_id", T.LongType()), T.StructField("_text_sha", T.StringType())])
+
+    def add_sha(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "_text"):
+                shas = [hashlib.sha256(normalised(t)).hexdigest() for t in batch.column("_text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("_doc"), batch.column("_id"), pa.array(shas, pa.string())], names=schema.names)
+
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), docs["doc_id"].cast("long").alias("_id"), docs["text"].cast("string").alias("_text"))
+    rows = rows.mapInArrow(add_sha, schema)
+    same = F.expr("_id <=> _of and _text_sha = _sha")
+    near = lambda df: F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+    rows = rows.join(near(lost), same, "left_anti")
+    if not repeated.isEmpty():
+        repeated = written(repeated, "ed-repeated")
+        once = rows.join(near(repeated), same, "left_semi").groupBy("_id", "_text_sha").agg(F.first("_doc").alias("_doc"))
+        rows = rows.join(near(repeated), same, "left_anti").select("_doc").unionByName(once.select("_doc"))
+    return rows.select("_doc.*")

@@ -47,35 +47,67 @@ def targets(sources: DataFrame, weights: tuple[float, ...], epochs: float, share
     return levels.select("source", "source_size", F.least("cap", F.coalesce(level * F.col("weight"), "cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), epochs: int = 3, share: float = 1.0, seed: int = 17) -> DataFrame:
-    """(doc_id, source, size, source_size, target, times, extra, taken) of each row of docs (doc_id, text, source, ...).
+def _sized(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    """(_id, _source, _size, _order, _slot, more): what the mix needs of each row."""
+    order = F.xxhash64(docs["doc_id"].cast("long"), F.lit(seed))
+    source = docs["source"].cast("string").alias("_source")
+    return docs.select(docs["doc_id"].cast("long").alias("_id"), source, n_words().alias("_size"), order.alias("_order"), F.pmod(order, F.lit(SLOTS)).alias("_slot"), *more)
 
-    size: number of words, 0 for null. times: whole repetitions; extra: words of one further, seeded repetition
-    (all, none, or at one document of a source a part). taken = times * size + extra, at most epochs * size. Null is
-    a source of its own. Sources without words have target 0. Reruns agree; repeated rows with equal doc_id and size
-    share a place in the order and are told apart by nothing else, so which of them is taken is not visible. Columns
-    other than doc_id, text and source are not read.
-    """
-    order = F.xxhash64("doc_id", F.lit(seed))
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"))
-    sized = written(sized.withColumn("order", order).withColumn("slot", F.pmod("order", F.lit(SLOTS))), "mix-sizes")
-    slots = written(sized.groupBy("source", "slot").agg(F.sum("size").alias("words")), "mix-slots")
-    plan = targets(slots.groupBy("source").agg(F.sum("words").alias("source_size")), tuple(weights), float(epochs), share)
+
+def _plan(sized: DataFrame, weights: tuple[float, ...], epochs: int, share: float) -> DataFrame:
+    """(source, source_size, target, times, need, edge, passed): how often a source is taken whole, how many words more,
+    the slot where these end and the words in the slots before it."""
+    slots = written(sized.groupBy(F.col("_source").alias("of"), F.col("_slot").alias("slot")).agg(F.sum("_size").alias("words")), "mix-slots")
+    plan = targets(slots.groupBy(F.col("of").alias("source")).agg(F.sum("words").alias("source_size")), tuple(weights), float(epochs), share)
     plan = plan.withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.withColumn("need", F.round(F.col("target") - F.col("times") * F.col("source_size")).cast("long"))
-    running = F.sum("words").over(W.partitionBy("of").orderBy("slot"))
-    through = slots.withColumnRenamed("source", "of").withColumn("through", running)
+    through = slots.withColumn("through", F.sum("words").over(W.partitionBy("of").orderBy("slot")))
     edge = through.join(plan.select("source", "need"), F.expr("of <=> source")).where("need > 0 and through >= need")
     # running sums grow with the slot, so the first slot that reaches the need also has the least sum before it
     edge = edge.groupBy("of").agg(F.min("slot").alias("edge"), F.min(F.col("through") - F.col("words")).alias("passed"))
     plan = written(plan.join(edge, F.expr("source <=> of"), "left").drop("of"), "mix-plan")
     discard(slots)
-    n = plan.count()
-    plan = plan.withColumnRenamed("source", "of")
-    rows = sized.join(F.broadcast(plan) if n <= MOST_BROADCAST else plan, F.expr("source <=> of"))
-    at_edge = rows.where("slot = edge")
-    before = F.coalesce(F.sum("size").over(W.partitionBy("source").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    at_edge = at_edge.withColumn("extra", F.least("size", F.greatest(F.lit(0), F.col("need") - F.col("passed") - before)))
-    others = rows.where("edge is null or slot <> edge").withColumn("extra", F.when(F.col("slot") < F.col("edge"), F.col("size")).otherwise(0))
-    out = others.unionByName(at_edge)
-    return out.select("doc_id", "source", "size", "source_size", "target", "times", "extra", (F.col("times") * F.col("size") + F.col("extra")).alias("taken"))
+    return plan
+
+
+def _taken(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """sized with the columns of its source's plan and ``extra``, the words of a further repetition."""
+    few = plan.count() <= MOST_BROADCAST
+    rows = sized.join(F.broadcast(plan) if few else plan, F.expr("_source <=> source"))
+    before = F.sum("_size").over(W.partitionBy("_source").orderBy("_order", "_id", "_size").rowsBetween(W.unboundedPreceding, -1))
+    left = F.col("need") - F.col("passed") - F.coalesce(before, F.lit(0))
+    at_edge = rows.where("_slot = edge").withColumn("extra", F.least("_size", F.greatest(F.lit(0), left)))
+    others = rows.where("edge is null or _slot <> edge").withColumn("extra", F.when(F.col("_slot") < F.col("edge"), F.col("_size")).otherwise(0))
+    return others.unionByName(at_edge)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), epochs: int = 3, share: float = 1.0, seed: int = 17) -> DataFrame:
+    """(doc_id, source, size, source_size, target, times, extra, taken) for each row of docs (doc_id, text, source, ...).
+
+    size: number of words, 0 for null. times: whole repetitions; extra: words of one further, seeded repetition
+    (all, none, or at one document of a source a part). taken = times * size + extra, at most epochs * size. Null is
+    a source of its own. Sources without words have target 0. Reruns agree; repeated rows with equal doc_id and size
+    share a place in the order, and it makes no difference which of them is taken. Columns other than doc_id, text
+    and source are not read.
+    """
+    sized = written(_sized(docs, seed), "mix-sizes")
+    out = _taken(sized, _plan(sized, weights, epochs, share))
+    taken = (F.col("times") * F.col("_size") + F.col("extra")).alias("taken")
+    return out.select(F.col("_id").alias("doc_id"), "source", F.col("_size").alias("size"), "source_size", "target", "times", "extra", taken)
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), epochs: int = 3, share: float = 1.0, seed: int = 17) -> DataFrame:
+    """The mix itself: rows of docs with all their columns, each as often as it is taken.
+
+    A row taken in part comes with its first words, joined by one space, as text, and their length as n_chars if docs has that
+    column. Rows taken not at all are absent.
+    """
+    sized = _sized(docs, seed, F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
+    plan = _plan(written(_sized(docs, seed), "mix-sizes"), weights, epochs, share)
+    rows = _taken(sized, plan).withColumn("_copies", F.col("times") + (F.col("extra") > 0).cast("long")).where("_copies > 0")
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    part = (F.col("_copy") > F.col("times")) & (F.col("extra") < F.col("_size"))
+    words = F.expr(f"array_join(slice(regexp_extract_all(_doc.text, '{WORD}', 0), 1, cast(extra as int)), ' ')")
+    rows = rows.withColumn("_text", F.when(part, words).otherwise(F.col("_doc.text")))
+    column = {"text": F.col("_text"), "n_chars": F.when(part, F.char_length("_text")).otherwise(F.col("_doc.n_chars")) if "n_chars" in docs.columns else None}
+    return rows.select(*[(column[c] if c in column else F.col(f"_doc.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -136,3 +136,18 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = rows.mapInArrow(run, "doc_id long, severity double, p_toxic double")
     return out.select("doc_id", "severity", "p_toxic", F.round("severity").cast("int").alias("grade"), (F.col("p_toxic") >= REJECT).alias("toxic"))
+
+
+def clean(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs, all columns unchanged, that the model does not call toxic; null and empty texts stay."""
+    model = fit(labelled_sample(docs, labels, sample_rows))
+    shared = docs.sparkSession.sparkContext.broadcast((model.index, model.weights, model.thresholds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                toxic = [bool(t and t.strip()) and own.score(t)[0] >= REJECT for t in batch.column("text").to_pylist()]
+                yield batch.filter(pa.array([not x for x in toxic], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
