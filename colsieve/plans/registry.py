@@ -2,5 +2,251 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from colsieve.functions.counters import counter_deltas
+from colsieve.operators import predicate, pruning, ranges
+from colsieve.operators.scan import ScanQuery
+from colsieve.plans import workloads
+from colsieve.sources.footers import footer_stats
+from colsieve.sources.sinks import write_csv
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+LINEITEM = workloads.Scans("l_suppkey", "l_extendedprice", "l_quantity", "l_linenumber")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _scan(name: str, table: str, sql: str | None, **query) -> None:
+    """Registers a ScanQuery over one table."""
+    QUERIES[name] = lambda spark, sf_dir: ScanQuery(**query).run(_table(spark, sf_dir, table))
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _sql_aggs(column: str) -> str:
+    return f"coalesce(sum({column}), 0.0) AS sum_{column}, avg({column}) AS avg_{column}, min({column}) AS min_{column}, max({column}) AS max_{column}, count({column}) AS count_{column}"
+
+
+FIVE = tuple(f"{op}(l_extendedprice)" for op in ("SUM", "AVG", "MIN", "MAX", "COUNT"))
+
+
+def _rounded(name: str, threshold: float) -> None:
+    """The flagship: one threshold, five aggregates in one pass; sums rounded, as their order is free."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = ScanQuery(where=f"l_extendedprice > {threshold!r}", aggs=FIVE).run(_table(spark, sf_dir, "lineitem"))
+        return out.withColumns({c: F.round(c, 4) for c in ("sum_l_extendedprice", "avg_l_extendedprice")})
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"""
+        SELECT round(coalesce(sum(l_extendedprice), 0.0), 4) AS sum_l_extendedprice, round(avg(l_extendedprice), 4) AS avg_l_extendedprice,
+          min(l_extendedprice) AS min_l_extendedprice, max(l_extendedprice) AS max_l_extendedprice, count(l_extendedprice) AS count_l_extendedprice
+        FROM lineitem WHERE l_extendedprice > CAST({threshold!r} AS DOUBLE)"""
+
+
+_rounded("q_flagship", 50000.0)
+for _name, _threshold in workloads.LADDER.items():
+    _rounded(f"q_workload_{_name}", _threshold)
+
+_scan("q_scan_project", "orders", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000.0", columns=("o_totalprice", "o_orderkey"), where="o_totalprice > 100000.0")
+_scan("q_late_project", "orders", "SELECT o_custkey, o_orderstatus FROM orders WHERE o_totalprice <= 50000.0 AND o_orderkey > 100", columns=("o_orderstatus", "o_custkey"), where="o_totalprice <= 50000.0 AND o_orderkey > 100")
+_scan("q_first_n_columns", "orders", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders", first_n=3)
+
+_KEYS = ("l_orderkey", "l_linenumber", "l_quantity")
+for _name, _op in (("lt", "<"), ("le", "<="), ("eq", "=="), ("ge", ">="), ("gt", ">")):
+    _scan(f"q_filter_{_name}", "lineitem", f"SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity {_op.replace('==', '=')} 25.0", columns=_KEYS, where=f"l_quantity {_op} 25.0")
+_scan("q_filter_int", "lineitem", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber >= 3", columns=_KEYS, where="l_linenumber >= 3")
+_scan("q_filter_float", "lineitem", "SELECT l_orderkey, l_discount FROM lineitem WHERE l_discount > 0.05", columns=("l_orderkey", "l_discount"), where="l_discount > 0.05")
+_scan("q_filter_string", "orders", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'", columns=("o_orderkey", "o_orderstatus"), where="o_orderstatus == F")
+_scan("q_filter_datetime", "events", "SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-02 00:00:00'", columns=("event_id", "user_id"), where="ts >= 2024-01-02-00:00:00")
+_scan("q_filter_and", "lineitem", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 40.0 AND l_returnflag = 'A'", columns=("l_orderkey", "l_linenumber"), where="l_quantity > 40.0 AND l_returnflag == A")
+_scan("q_filter_or", "lineitem", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 49.0 OR l_returnflag = 'R'", columns=("l_orderkey", "l_linenumber"), where="l_quantity > 49.0 OR l_returnflag == R")
+_scan("q_filter_not", "lineitem", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_quantity > 10.0 OR l_linenumber <= 2)", columns=("l_orderkey", "l_linenumber"), where="NOT (l_quantity > 10.0 OR l_linenumber <= 2)")
+_scan(
+    "q_filter_precedence", "lineitem", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 49.0 OR (l_linenumber < 3 AND NOT l_returnflag = 'N')",
+    columns=("l_orderkey", "l_linenumber"), where="l_quantity > 49.0 OR l_linenumber < 3 AND NOT l_returnflag == N",
+)
+_scan("q_filter_by_index", "lineitem", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber = 2", columns=("l_orderkey", "l_linenumber"), where="3 == 2", by_index=True)
+
+
+@_query("SELECT doc_id, quality = 1 AS good FROM labels WHERE quality = 1")
+def q_filter_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = _table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))
+    return ScanQuery(where="good == true").run(flags)
+
+
+@_query("SELECT l_orderkey, CAST(l_shipdate AS DATE) AS ship_date FROM lineitem WHERE CAST(l_shipdate AS DATE) >= DATE '1996-01-01'")
+def q_filter_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dates = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_shipdate").cast("date").alias("ship_date"))
+    return ScanQuery(where="ship_date >= 1996-01-01-00:00:00").run(dates)
+
+
+def _nulls(spark: SparkSession, sf_dir: str, strict: bool) -> DataFrame:
+    df = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", F.nullif("l_linenumber", F.lit(3)).alias("line"))
+    return ScanQuery(where="line < 2 OR l_quantity > 20.0", aggs=("COUNT(l_orderkey)", "COUNT(line)"), strict_nulls=strict).run(df)
+
+
+_NULLS_SQL = "SELECT count(l_orderkey) AS count_l_orderkey, count(line) AS count_line FROM (SELECT l_orderkey, l_quantity, nullif(l_linenumber, 3) AS line FROM lineitem) WHERE "
+
+
+@_query(_NULLS_SQL + "line < 2 OR l_quantity > 20.0")
+def q_filter_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nulls(spark, sf_dir, False)
+
+
+@_query(_NULLS_SQL + "line IS NOT NULL AND l_quantity IS NOT NULL AND (line < 2 OR l_quantity > 20.0)")
+def q_filter_nulls_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nulls(spark, sf_dir, True)
+
+
+_scan("q_agg_sum_int", "lineitem", "SELECT CAST(coalesce(sum(l_orderkey), 0) AS BIGINT) AS sum_l_orderkey, CAST(coalesce(sum(l_linenumber), 0) AS BIGINT) AS sum_l_linenumber FROM lineitem", aggs=("SUM(l_orderkey)", "SUM(l_linenumber)"))
+_scan("q_agg_count", "events", "SELECT count(props) AS count_props, count(value) AS count_value FROM events WHERE value > 10.0", aggs=("COUNT(value)",), where="value > 10.0")
+_scan("q_agg_minmax_int", "lineitem", "SELECT CAST(min(l_linenumber) AS BIGINT) AS min_l_linenumber, CAST(max(l_linenumber) AS BIGINT) AS max_l_linenumber, min(l_orderkey) AS min_l_orderkey, max(l_orderkey) AS max_l_orderkey FROM lineitem", aggs=("MIN(l_linenumber)", "MAX(l_linenumber)", "MIN(l_orderkey)", "MAX(l_orderkey)"))
+_scan("q_agg_minmax_float", "orders", "SELECT min(o_totalprice) AS min_o_totalprice, max(o_totalprice) AS max_o_totalprice FROM orders", aggs=("MIN(o_totalprice)", "MAX(o_totalprice)"))
+_scan(
+    "q_agg_empty", "lineitem", f"SELECT {_sql_aggs('l_quantity')}, CAST(coalesce(sum(l_orderkey), 0) AS BIGINT) AS sum_l_orderkey FROM lineitem WHERE l_quantity < -1.0",
+    where="l_quantity < -1.0", aggs=("SUM(l_quantity)", "AVG(l_quantity)", "MIN(l_quantity)", "MAX(l_quantity)", "COUNT(l_quantity)", "SUM(l_orderkey)"),
+)
+ORACLE_SQL["q_agg_count"] = "SELECT count(value) AS count_value FROM events WHERE value > 10.0"
+
+
+@_query("SELECT round(coalesce(sum(o_totalprice), 0.0), 2) AS sum_o_totalprice FROM orders")
+def q_agg_sum_float(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ScanQuery(aggs=("SUM(o_totalprice)",)).run(_table(spark, sf_dir, "orders")).withColumn("sum_o_totalprice", F.round("sum_o_totalprice", 2))
+
+
+@_query("SELECT round(avg(l_quantity), 6) AS avg_l_quantity, round(avg(l_linenumber), 6) AS avg_l_linenumber FROM lineitem")
+def q_agg_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ScanQuery(aggs=("AVG(l_quantity)", "AVG(l_linenumber)")).run(_table(spark, sf_dir, "lineitem"))
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@_query(
+    """SELECT 'customer.parquet' AS file, CAST(min(c_nationkey) AS BIGINT) AS min_key, CAST(max(c_nationkey) AS BIGINT) AS max_key, count(c_nationkey) AS n FROM customer
+    UNION ALL SELECT 'supplier.parquet', CAST(min(s_nationkey) AS BIGINT), CAST(max(s_nationkey) AS BIGINT), count(s_nationkey) FROM supplier
+    UNION ALL SELECT 'nation.parquet', CAST(min(n_nationkey) AS BIGINT), CAST(max(n_nationkey) AS BIGINT), count(n_nationkey) FROM nation"""
+)
+def q_agg_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each table is one file here; a table of many files gives a row for each."""
+    out = None
+    for name, column in (("customer", "c_nationkey"), ("supplier", "s_nationkey"), ("nation", "n_nationkey")):
+        part = ScanQuery(aggs=(f"MIN({column})", f"MAX({column})", f"COUNT({column})"), scope="file").run(_table(spark, sf_dir, name)).toDF("file", "min_key", "max_key", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@_query("SELECT l_suppkey, max(l_extendedprice / nullif(l_quantity, 0) * l_linenumber) AS size FROM lineitem GROUP BY l_suppkey")
+def q_group_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LINEITEM.size_estimates(_table(spark, sf_dir, "lineitem"))
+
+
+@_query("SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey")
+def q_group_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+
+
+_SIZES = "SELECT l_suppkey, max(l_extendedprice / nullif(l_quantity, 0) * l_linenumber) AS size FROM lineitem GROUP BY l_suppkey"
+
+
+@_query(f"WITH sizes AS ({_SIZES}) SELECT l.l_suppkey, l.l_extendedprice, s.size, CASE WHEN s.size > 0 THEN l.l_extendedprice / s.size ELSE NULL END AS ratio FROM lineitem l JOIN sizes s ON l.l_suppkey = s.l_suppkey")
+def q_join_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workloads.selectivity_ratio(_table(spark, sf_dir, "lineitem"), LINEITEM)
+
+
+@_query("WITH c AS (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY s_nationkey) SELECT s_nationkey, n, n * 100.0::DOUBLE / (SELECT sum(n) FROM c) AS percentage FROM c")
+def q_share_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"))
+    return workloads.share_of_total(counts, "n", "percentage")
+
+
+@_query(
+    f"""WITH sizes AS ({_SIZES}), r AS (SELECT CASE WHEN s.size > 0 THEN l.l_extendedprice / s.size ELSE NULL END AS ratio FROM lineitem l JOIN sizes s ON l.l_suppkey = s.l_suppkey),
+    c AS (SELECT CAST(least(ceil(ratio * 100), 100) AS DOUBLE) AS selectivity_bucket, count(*) AS query_count FROM r GROUP BY 1)
+    SELECT selectivity_bucket, query_count, CAST(query_count AS DOUBLE) * 100.0 / (SELECT sum(query_count) FROM c) AS query_percentage FROM c ORDER BY selectivity_bucket"""
+)
+def q_selectivity_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workloads.selectivity_distribution(_table(spark, sf_dir, "lineitem"), LINEITEM)
+
+
+@_query(
+    f"""WITH sizes AS ({_SIZES}), r AS (SELECT l.l_suppkey, s.size, sum(l.l_extendedprice) / nullif(s.size, 0) AS rate FROM lineitem l JOIN sizes s ON l.l_suppkey = s.l_suppkey GROUP BY l.l_suppkey, s.size)
+    SELECT round(sum(rate * size) / sum(size) / 14 * 365 / 12, 6) AS weighted_avg_read_per_size, round(sum(size), 2) AS total_size FROM r"""
+)
+def q_retrieval_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = workloads.retrieval_rate(_table(spark, sf_dir, "lineitem"), LINEITEM)
+    return out.select(F.round("weighted_avg_read_per_size", 6).alias("weighted_avg_read_per_size"), F.round("total_size", 2).alias("total_size"))
+
+
+@_query(
+    """SELECT event_id, user_id, value - lag(value) OVER w AS d_value, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS d_micros
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts), event_id)"""
+)
+def q_counter_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")))
+    return counter_deltas(events, ["value", "micros"], ["micros", "event_id"], ["user_id"]).select("event_id", "user_id", "d_value", "d_micros")
+
+
+@_query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = _table(spark, sf_dir, "nation")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    path = f"{shared}/nation-csv-{uuid.uuid4().hex}"
+    write_csv(nation, path)
+    return spark.read.schema(nation.schema).option("header", True).csv(path)
+
+
+PRUNED = "l_quantity <= 40.0 AND NOT l_linenumber > 6"
+_META = "parquet_metadata('{dir}/lineitem.parquet')"
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return footer_stats(spark, f"{sf_dir}/lineitem.parquet")
+
+
+_DIR = "/root/testdata/sf0.01"
+
+
+@_query(
+    f"""SELECT parse_filename(file_name) AS file_name, CAST(row_group_id AS INTEGER) AS row_group, row_group_num_rows AS num_rows, CAST(column_id AS INTEGER) AS col_index, path_in_schema AS col_name,
+      coalesce(dictionary_page_offset, data_page_offset) AS chunk_offset, total_compressed_size AS chunk_length FROM {_META.format(dir=_DIR)}"""
+)
+def q_footer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir).select("file_name", "row_group", "num_rows", "col_index", "col_name", "chunk_offset", "chunk_length")
+
+
+@_query()
+def q_prune_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = _stats(spark, sf_dir)
+    return pruning.prune(stats, predicate.parse(PRUNED)).select(F.element_at(F.split("file", "/"), -1).alias("file_name"), "row_group", "keep")
+
+
+@_query()
+def q_byte_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ranges.byte_ranges(_stats(spark, sf_dir), predicate.parse(PRUNED))
+    return out.select(F.element_at(F.split("file", "/"), -1).alias("file_name"), "offset", "length")
+
+
+@_query()
+def q_scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.scan_report(_stats(spark, sf_dir), predicate.parse(PRUNED)).drop("file")
+
+
