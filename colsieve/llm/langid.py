@@ -37,7 +37,8 @@ def blocks_of(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * BLOCK + at[:-1][text]
     place = start[:, None] + np.arange(BLOCK)
     inside = place < at[1:][text][:, None]
-    return np.where(inside, buf[np.minimum(place, len(buf) - 1)] if len(buf) else 0, PAD).astype(np.int64), text
+    at_place = buf[np.minimum(place, len(buf) - 1)].astype(np.int64) if len(buf) else place
+    return np.where(inside, at_place, PAD), text
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
