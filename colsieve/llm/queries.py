@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, exactdedup, langid, lattice, minhash, mixing, sharding, substring, toxicity, urlfilter
 from .common import table
+from .oracles import ORACLE_SQL
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +75,4 @@ QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

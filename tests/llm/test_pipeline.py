@@ -37,3 +37,19 @@ def test_five_stages_and_ten_queries():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "encode"]
     assert sorted(int(k.split("_")[0][2:]) for k in QUERIES) == list(range(1, 11))
     assert all((bpe, exactdedup, minhash, mixing, toxicity))
+
+
+def test_oracles_agree(spark):
+    """The SQL of the operators that have any gives their rows on the smallest tables."""
+    import duckdb
+
+    from colsieve.llm.queries import ORACLE_SQL
+
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    for name, sql in ORACLE_SQL.items():
+        df = QUERIES[name](spark, d)
+        names = [c[0] for c in con.execute(sql).description]
+        assert sorted(names) == sorted(df.columns)
+        assert sorted(map(repr, map(tuple, df.select(*names).collect()))) == sorted(map(repr, con.execute(sql).fetchall()))
