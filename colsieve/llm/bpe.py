@@ -4,7 +4,7 @@ Method. The adjacent pairs of a piece are the leaves of a segment tree of minima
 and its position, so the root is the leftmost pair of the lowest rank. A merge changes three leaves (the pair, its
 left and its right neighbour), each in logarithmic time, until the root says that no pair can merge. Pieces come from
 the published pattern of the byte-level pre-tokenizer; those up to ``LONGEST_CACHED`` characters are remembered in a
-bounded table of each Python worker, as words repeat. Texts are processed whole; a piece of any length costs
+bounded table for the length of a task, as words repeat. Texts are processed whole; a piece of any length costs
 O(n log n).
 
 The vocabulary file is read once on the driver from the path given (about 1.5 MB, whatever the data) and broadcast.
@@ -26,7 +26,7 @@ from .text import slices
 
 #: Fixed value: the byte-level pre-tokenizer's published pattern.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LONGEST_CACHED, MOST_CACHED = 48, 400_000
+LONGEST_CACHED, MOST_CACHED = 48, 300_000
 NONE, NO_PAIR = 1 << 62, 1 << 30
 
 
@@ -275,6 +275,11 @@ class Tokenizer(dict):
             return self.run(text)
         return b"".join([self.special[x].to_bytes(4, "little") if x in self.special else self.run(x) for x in self.split.split(text)])
 
+    def forget(self) -> None:
+        """Drops what was remembered, so that an idle worker holds the vocabulary only."""
+        for known in (self, self.word, self.spaced):
+            known.clear()
+
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode(errors="replace")
@@ -284,7 +289,7 @@ _loaded: dict[int, Tokenizer] = {}
 
 
 def _tokenizer(shared) -> Tokenizer:
-    """One for each Python worker and vocabulary, so that its remembered pieces serve all of the worker's tasks."""
+    """One for each Python worker and vocabulary."""
     key = hash(shared.value)
     if key not in _loaded:
         _loaded.clear()
@@ -321,6 +326,7 @@ def tokenize(docs: DataFrame, path: str, decode: bool = False) -> DataFrame:
                 if decode:
                     cols.append(pa.array(map(tok.decode, ids), pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(kinds))
+        tok.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", decoded string" * decode)

@@ -138,3 +138,4 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + most, side="right")))
         yield batch.slice(i, j - i)
         i = j
+    pa.default_memory_pool().release_unused()
