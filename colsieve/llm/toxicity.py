@@ -1,7 +1,8 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
-Method. Features are the distinct lower-cased words of a text and their prefixes of 3 to 6 letters; those with the
-strongest association with the toxic label in the training sample are kept by name, so no two features collide. One
+Method. Features are the distinct lower-cased words of a text and their prefixes of 3 to 6 letters; of those in at
+least ``LEAST_ROWS`` toxic rows of the training sample the ones most strongly associated with the label are kept by name,
+so no two features collide. One
 weight vector serves all thresholds: P(grade <= k) = sigmoid(threshold_k - weights . features), with ordered
 thresholds. The score is the expected grade. Labels say toxic or not; training grades of toxic rows grow with the
 number of distinct words that hold a strongly toxic feature (1, up to 3, more), clean rows have grade 0.
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .text import slices
 
-SAMPLE_ROWS = 6000
-MOST_FEATURES, LEAST_ROWS, MOST_WORDS = 8192, 3, 300_000
+SAMPLE_ROWS = 5000
+MOST_FEATURES, LEAST_ROWS, MOST_WORDS = 4096, 3, 150_000
 GRADES, REJECT = 4, 0.3
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -36,6 +37,12 @@ def word_features(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in range(3, 7) if len(word) >= n)]
 
 
+def text_features(text: str | None, known=None) -> set[str]:
+    """The distinct features of a text, or those among the known ones."""
+    words = set(_words((text or "").lower()))
+    return {f for w in words for f in word_features(w) if known is None or f in known}
+
+
 @dataclass
 class Model:
     """Feature indexes by name, weights, and the GRADES - 1 ordered thresholds."""
@@ -66,26 +73,26 @@ class Model:
 
 def fit(rows: list[tuple[str | None, int]], rounds: int = 400, rate: float = 0.05, l2: float = 1e-4) -> Model:
     """Fits on (text, toxic) rows by full-batch Adam; without both classes the model scores 0 everywhere."""
-    sets = [{f for w in set(_words((t or "").lower())) for f in word_features(w)} for t, _ in rows]
     toxic = np.array([int(y or 0) for _, y in rows])
     nt, nc = int(toxic.sum()), int(len(toxic) - toxic.sum())
     if not nt or not nc:
         return Model({}, np.zeros(0), np.full(GRADES - 1, 50.0))
-    in_toxic, in_clean = Counter(), Counter()
-    for s, y in zip(sets, toxic, strict=True):
-        (in_toxic if y else in_clean).update(s)
-    names = [f for f in in_toxic.keys() | in_clean.keys() if in_toxic[f] + in_clean[f] >= LEAST_ROWS]
+    # only features of several toxic rows can speak for toxicity; the others aren't even counted in clean rows
+    in_toxic = Counter(f for t, y in rows if y for f in text_features(t))
+    in_toxic = {f: n for f, n in in_toxic.items() if n >= LEAST_ROWS}
+    in_clean = Counter(f for t, y in rows if not y for f in text_features(t, in_toxic))
+    names = sorted(in_toxic)
     a, c = np.array([in_toxic[f] for f in names]) + 0.5, np.array([in_clean[f] for f in names]) + 0.5
     odds = np.log(a / (nt - a + 1)) - np.log(c / (nc - c + 1))
     strength = odds / np.sqrt(1 / a + 1 / c)
     order = sorted(range(len(names)), key=lambda i: (-abs(strength[i]), names[i]))[:MOST_FEATURES]
     index = {names[i]: k for k, i in enumerate(order)}
     strong = {names[i] for i in order if strength[i] > 4 and odds[i] > 3}
-    marked = np.array([len({f.rstrip("*")[:3] for f in s & strong}) for s in sets])
+    marked = np.array([len({f.rstrip("*")[:3] for f in text_features(t, strong)}) for t, _ in rows])
     grade = np.where(toxic == 0, 0, np.where(marked <= 1, 1, np.where(marked <= 3, 2, 3)))
 
-    cols = [np.fromiter((index[f] for f in s if f in index), np.int64) for s in sets]
-    col, row = np.concatenate(cols), np.repeat(np.arange(len(sets)), [len(x) for x in cols])
+    cols = [np.fromiter((index[f] for f in text_features(t, index)), np.int64) for t, _ in rows]
+    col, row = np.concatenate(cols), np.repeat(np.arange(len(rows)), [len(x) for x in cols])
     # thresholds are the first one and positive steps, so they stay ordered
     params = np.concatenate([np.zeros(len(index)), [2.0], np.zeros(GRADES - 2)])
     m, v = np.zeros_like(params), np.zeros_like(params)
