@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, release, written
-from .text import joined_buffer, rolling, slices, word_hashes, words
+from .common import release, written
+from .text import joined_buffer, mixed, rolling, slices, word_hashes, words
 
 WINDOW, BLOCK = 50, 25
 BUCKET_BYTES = 4 << 20
@@ -40,7 +40,7 @@ _PACKED = "bucket long, slice long, a binary, b binary, c binary"
 
 def planes(x: np.ndarray) -> bytes:
     """The bytes of x, all lowest bytes first: slowly changing high bytes compress well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
 
 
 def unplanes(raw: bytes, kind: str) -> np.ndarray:
@@ -123,7 +123,8 @@ def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
         cut = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1], [True])))
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             anchors[text[i]] = planes(prints[i:j])
-    return pd.DataFrame({"doc_id": pd.array(np.where(has_id, ids, 0), "Int64").where(pd.array(has_id), pd.NA) if not has_id.all() else ids, "n_words": size, "full_sha": [sha[32 * i : 32 * i + 32] for i in range(len(ids))], "anchors": anchors})
+    doc_id = pd.arrays.IntegerArray(ids.copy(), ~has_id)
+    return pd.DataFrame({"doc_id": doc_id, "n_words": size, "full_sha": [sha[32 * i : 32 * i + 32] for i in range(len(ids))], "anchors": anchors})
 
 
 def _windows(buckets: int, window: int, block: int):
@@ -159,18 +160,34 @@ def _windows(buckets: int, window: int, block: int):
     return run
 
 
-def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's windows to those that a smaller doc_id has too, by document."""
+def _repeated(buckets: int):
+    """A bucket's windows to those that a smaller doc_id has too, packed by bucket of the document."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = np.concatenate([unplanes(x, "<u8") for x in pdf["a"]])
+        doc = np.concatenate([unplanes(x, "<i8") for x in pdf["b"]])
+        order = np.lexsort((doc, w))
+        w, doc = w[order], doc[order]
+        first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+        least = np.repeat(doc[first], np.diff(np.append(first, len(w))))
+        w, doc = w[doc > least], doc[doc > least]
+        of = bucket_of(mixed(doc.view(np.uint64)), buckets)
+        order = np.lexsort((doc, of))
+        w, doc, of = w[order], doc[order], of[order]
+        cut = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True]))) if len(of) else np.zeros(1, int)
+        parts = list(zip(cut[:-1], cut[1:], strict=True))
+        return pd.DataFrame({"of": of[cut[:-1]], "a": [planes(w[i:j]) for i, j in parts], "b": [planes(doc[i:j]) for i, j in parts]})
+
+    return run, "of long, a binary, b binary"
+
+
+def _gathered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The repeated windows of a bucket of documents, one row for each document."""
     w = np.concatenate([unplanes(x, "<u8") for x in pdf["a"]])
     doc = np.concatenate([unplanes(x, "<i8") for x in pdf["b"]])
-    order = np.lexsort((doc, w))
-    w, doc = w[order], doc[order]
-    first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-    least = np.repeat(doc[first], np.diff(np.append(first, len(w))))
-    w, doc = w[doc > least], doc[doc > least]
     order = np.argsort(doc, kind="stable")
     w, doc = w[order], doc[order]
-    cut = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1], [True]))) if len(doc) else np.zeros(1, int)
+    cut = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1], [True])))
     return pd.DataFrame({"doc_id": doc[cut[:-1]], "found": [planes(w[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]})
 
 
@@ -188,8 +205,7 @@ def _removed(window: int, with_text: bool):
                     h = hashes[bound[i] : bound[i + 1]]
                     change = np.zeros(len(h) + 1, np.int64)
                     if len(h) >= window:
-                        known = np.concatenate([unplanes(x, "<u8") for x in found])
-                        hit = np.flatnonzero(np.isin(rolling(h, window), known))
+                        hit = np.flatnonzero(np.isin(rolling(h, window), unplanes(found, "<u8")))
                         change[hit] += 1
                         np.subtract.at(change, hit + window, 1)
                     keep = np.cumsum(change[:-1]) == 0
@@ -228,8 +244,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, wi
     ids = with_anchors.select("doc_id").distinct()
     some = texts.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= MOST_BROADCAST else texts
     entries = with_anchors.dropDuplicates(["doc_id"]).select("doc_id", "anchors").join(some, "doc_id").mapInArrow(_windows(buckets, window, block), "bucket long, a binary, b binary")
-    found = entries.groupBy("bucket").applyInPandas(_repeated, "doc_id long, found binary")
-    found = written(found.groupBy("doc_id").agg(F.collect_list("found").alias("found")), "ss-found")
+    found = entries.groupBy("bucket").applyInPandas(*_repeated(buckets))
+    found = written(found.groupBy("of").applyInPandas(_gathered, "doc_id long, found binary"), "ss-found")
     release(spark)
 
     ids = found.select("doc_id")
