@@ -6,9 +6,10 @@ positions of the label. Segmented host words and path tokens are scored by multi
 smoothing, trained on the urls that rules fit, their verdicts as labels. The unigram model counts words of all pages' titles and
 paths and the labels that hosts share; a word it lacks has a probability that falls tenfold with each letter.
 
-Scale. Counts of tokens and of labels are partial sums over all urls; the model keeps the ``MOST_TOKENS`` and
-``MOST_WORDS`` most frequent, which bounds what is broadcast. Judging is one pass without a shuffle. A hot host costs no more
-than its rows.
+Scale. Pages are read once; hosts, paths and titles are written down. Counts of tokens and of labels are partial sums over
+all urls; the unigram model keeps the ``MOST_WORDS`` most frequent, which bounds what is broadcast. Tokens and their weights
+stay tables without a limit: a url's score is the sum over a join of its tokens with all weights. What is used most (``HOT`` tokens or hosts) is
+joined by broadcast, so no task gets all rows of a hot host or token.
 """
 
 from __future__ import annotations
@@ -21,9 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: (verdict, host, path): a rule fits the host and its subdomains if the path starts with the rule's.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-MOST_WORDS, MOST_TOKENS, LONGEST_WORD, MOST_CACHED = 200_000, 200_000, 24, 200_000
+MOST_WORDS, LONGEST_WORD, MOST_CACHED = 200_000, 24, 200_000
+#: Keys of a join that are broadcast; the others are shuffled. It changes no result.
+HOT = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _tokens = re.compile(r"[^\W_]+").findall
 
@@ -82,12 +87,6 @@ class Segmenter:
         return self.known[name]
 
 
-def features(host: str, path: str, segmenter: Segmenter) -> list[str]:
-    """Tokens of a url: words of the host's labels marked h:, tokens of the path marked p: and cut to their kind if they are numbers."""
-    out = ["h:" + w for label in host.split(".") for part in _tokens(label) for w in segmenter.split(part)]
-    return out + ["p:" + (t if not t.isdigit() else f"#{len(t)}") for t in _tokens(path.lower())]
-
-
 def train_words(urls: DataFrame) -> Segmenter:
     """Unigrams of (host, path, title): words of titles and paths, and parts of labels that several hosts share.
 
@@ -100,14 +99,34 @@ def train_words(urls: DataFrame) -> Segmenter:
     return Segmenter({r["word"]: r["n"] for r in counts.collect()})
 
 
-def _featured(shared):
+def _host_tokens(shared):
+    """Hosts to their tokens: words of the labels marked h:."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = shared.value
         for batch in batches:
-            rows = [(v, f) for h, p, v in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "verdict")), strict=True) for f in features(h, p, seg)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["verdict", "feature"])
+            found = [["h:" + w for part in _tokens(h) for w in seg.split(part)] for h in batch.column("host").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.list_(pa.string()))], names=["host", "features"])
+
+    return run, "host string, features array<string>"
+
+
+def _path_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows to the tokens of their paths, marked p: and cut to their kind if they are numbers."""
+    for batch in batches:
+        found = [["p:" + (t if not t.isdigit() else f"#{len(t)}") for t in _tokens(p.lower())] for p in batch.column("path").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("verdict"), pa.array(found, pa.list_(pa.string()))], names=["row", "verdict", "features"])
 
-    return run, "verdict string, feature string"
+
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left with the columns of right (key, ..., use), one row for each key; use is the number of rows of left with that key.
+
+    The ``HOT`` most used keys are joined by broadcast, the others by shuffle: none of those has more than 1/``HOT`` of the rows.
+    """
+    hot = right.orderBy(F.desc("use"), key).limit(HOT).drop("use").withColumn("_hot", F.lit(True))
+    tried = left.join(F.broadcast(hot), key, "left")
+    rest = tried.where("_hot is null").select(*left.columns).join(right.drop("use"), key, "left")
+    return tried.where("_hot").drop("_hot").unionByName(rest)
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -115,7 +134,8 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
     host: after the first :// up to /, ? or #, A-Z lower-cased; path: from there up to ? or #; both empty for a null
     url or one without ://. rule: the longest that fits, else null. verdict: the rule's, else block if the log-odds
-    ``score`` of naive Bayes are above 0, else allow; score is null where a rule fits. Without trained urls the prior is even and
+    ``score`` of naive Bayes are above 0, else allow; score is null where a rule fits. A token that no trained url has weighs nothing.
+    Without trained urls the prior is even and
     the verdict allow. Repeated rows are judged alike. Columns other than page_id, url and html (if there) are not read.
     """
     spark = pages.sparkSession
@@ -123,24 +143,32 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     title = F.regexp_extract(F.col("html").cast("string"), r"(?is)<title>(.*?)</title>", 1) if "html" in pages.columns else F.lit("")
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), title.alias("title"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    urls = urls.withColumn("rule", name).withColumn("verdict", verdict)
-    segmenter = train_words(urls)
-    urls = urls.drop("title")
-    shared = spark.sparkContext.broadcast(segmenter)
-    ruled = urls.where("verdict is not null")
-    prior = {r["verdict"]: r["count"] for r in ruled.groupBy("verdict").count().collect()}
-    counted = ruled.select("host", "path", "verdict").mapInArrow(*_featured(shared)).groupBy("feature").agg(F.count_if(F.col("verdict") == "block").alias("block"), F.count_if(F.col("verdict") == "allow").alias("allow"))
-    tokens = {r["feature"]: (r["block"], r["allow"]) for r in counted.orderBy(F.desc(F.col("block") + F.col("allow")), "feature").limit(MOST_TOKENS).collect()}
-    nb, na = (sum(t[k] for t in tokens.values()) + len(tokens) + 1 for k in (0, 1))
-    weights = {f: math.log((b + 1) / nb) - math.log((a + 1) / na) for f, (b, a) in tokens.items()}
-    base = math.log((prior.get("block", 0) + 1) / (prior.get("allow", 0) + 1)) if prior else 0.0
-    model = spark.sparkContext.broadcast((weights, base))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg, (w, b) = shared.value, model.value
-        for batch in batches:
-            scores = [None if r is not None else b + sum(w.get(f, 0.0) for f in features(h, p, seg)) for h, p, r in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "rule")), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
-
-    out = urls.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, score double")
-    return out.withColumn("verdict", F.coalesce("verdict", F.when(F.col("score") > 0, "block").otherwise("allow")))
+    urls = written(urls.withColumn("rule", name).withColumn("verdict", verdict).withColumn("row", F.monotonically_increasing_id()), "uf-urls")
+    is_block, is_allow, is_open = F.col("verdict") == "block", F.col("verdict") == "allow", F.col("verdict").isNull()
+    hosts = written(urls.groupBy("host").agg(F.count_if(is_block).alias("block"), F.count_if(is_allow).alias("allow"), F.count_if(is_open).alias("use")), "uf-hosts")
+
+    shared = spark.sparkContext.broadcast(train_words(urls))
+    of_host = hosts.select("host").mapInArrow(*_host_tokens(shared))
+    of_host = written(hosts.join(of_host, "host").select("host", "block", "allow", (F.col("use") > 0).cast("long").alias("use"), F.explode("features").alias("feature")), "uf-host-tokens")
+    of_path = urls.select("row", "path", "verdict").mapInArrow(_path_tokens, "row long, verdict string, features array<string>").select("row", "verdict", F.explode("features").alias("feature"))
+    by_path = of_path.groupBy("feature").agg(F.count_if(is_block).alias("block"), F.count_if(is_allow).alias("allow"), F.count_if(is_open).alias("use"))
+    counted = of_host.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("block", "allow", "use")]).unionByName(by_path)  # h: and p: share no token
+    counted = written(counted, "uf-tokens")
+
+    totals = counted.where("block + allow > 0").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count("*").alias("n")).first()
+    nb, na = ((totals[k] or 0) + totals["n"] + 1 for k in ("block", "allow"))
+    prior = hosts.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")).first()
+    base = math.log(((prior["block"] or 0) + 1) / ((prior["allow"] or 0) + 1))
+    weight = F.log((F.col("block") + 1) / F.lit(nb)) - F.log((F.col("allow") + 1) / F.lit(na))
+    # decimals add up to the same sum in any order
+    weights = counted.where("use > 0").select("feature", F.when(F.expr("block + allow > 0"), weight).otherwise(0.0).cast("decimal(28,20)").alias("w"), "use")
+    by_host = spread_join(of_host.where("use > 0").select("host", "feature"), weights, "feature").groupBy("host").agg(F.sum("w").alias("of_host"))
+    by_row = spread_join(of_path.where(is_open).select("row", "feature"), weights, "feature").groupBy("row").agg(F.sum("w").alias("of_path"))
+    by_host = written(hosts.where("use > 0").select("host", "use").join(by_host, "host", "left"), "uf-host-scores")
+
+    unruled = spread_join(urls.where(is_open).drop("title"), by_host, "host").join(by_row, "row", "left")
+    none = F.lit(0).cast("decimal(38,20)")
+    score = F.lit(base) + (F.coalesce("of_host", none) + F.coalesce("of_path", none)).cast("double")
+    unruled = unruled.withColumn("score", score).withColumn("verdict", F.when(F.col("score") > 0, "block").otherwise("allow"))
+    columns = ["page_id", "host", "path", "rule", "verdict", "score"]
+    return urls.where("verdict is not null").withColumn("score", F.lit(None).cast("double")).select(columns).unionByName(unruled.select(columns))

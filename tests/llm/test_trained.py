@@ -153,3 +153,26 @@ def test_bayes_learns_from_rules(spark):
     titles = "<title>casino garden win now</title>"
     got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame([(i, u, titles) for i, u in rows], "page_id long, url string, html string")).collect()}
     assert (got[1000].verdict, got[1001].verdict) == ("block", "allow")
+
+
+def test_every_token_weighs(spark, monkeypatch):
+    """More tokens than were once kept: the rarest and last by alphabet decide a verdict, and all scores are those of plain naive Bayes."""
+    monkeypatch.setattr(urlfilter, "HOT", 100)
+    paths = [("com", "de", [f"b{i}x{j}" for j in range(1000)]) for i in range(105)] + [("com", "fr", [f"a{i}x{j}" for j in range(1000)]) for i in range(106)]
+    paths[0][2].append("zzz")
+    rows = [(i, f"http://{h}/{p}/{'/'.join(t)}") for i, (h, p, t) in enumerate(paths)] + [(1000, "http://net/zzz"), (1001, "http://net/never/b7x7"), (1002, "http://net"), (1003, "http://net/a5x5/a5x6/b1x1"), (1003, "http://net/zzz/zzz")]
+    got = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    count = {"block": {}, "allow": {}}
+    for h, p, tokens in paths:
+        for t in ["h:" + h, *("p:" + t for t in [p, *tokens])]:
+            of = count["block" if p == "de" else "allow"]
+            of[t] = of.get(t, 0) + 1
+    known = count["block"].keys() | count["allow"].keys()
+    assert len(known) > 210_000
+    weigh = lambda t: np.log((count["block"].get(t, 0) + 1) / (sum(count["block"].values()) + len(known) + 1)) - np.log((count["allow"].get(t, 0) + 1) / (sum(count["allow"].values()) + len(known) + 1))
+    want = {u: np.log(106 / 107) + sum(weigh("p:" + t) for t in u.split("/")[3:] if "p:" + t in known) for i, u in rows if i >= 1000}
+    assert len(got) == len(rows) and all((r.score is None) == (r.page_id < 1000) for r in got)
+    for r in got:
+        if r.score is not None:
+            assert r.score == pytest.approx(want[f"http://{r.host}{r.path}"], abs=1e-9) and r.verdict == ("block" if r.score > 0 else "allow")
+    assert {r.verdict for r in got if r.page_id == 1000} == {"block"}
