@@ -7,9 +7,9 @@ smoothing, trained on the urls that rules fit, their verdicts as labels. The uni
 paths and the labels that hosts share; a word it lacks has a probability that falls tenfold with each letter.
 
 Scale. Pages are read once; hosts, paths and titles are written down. Counts of tokens and of labels are partial sums over
-all urls; the unigram model keeps the ``MOST_WORDS`` most frequent, which bounds what is broadcast. Tokens and their weights
-stay tables without a limit: a url's score is the sum over a join of its tokens with all weights. What is used most (``HOT`` tokens or hosts) is
-joined by broadcast, so no task gets all rows of a hot host or token.
+all urls. Words, tokens and their weights stay tables without a limit: each distinct label is split once with the counts of its own
+substrings, and a url's score is the sum over a join of its tokens with all weights. What is used most (``HOT`` substrings, labels, tokens or hosts) is
+joined by broadcast, so no task gets all rows of a hot one. A label of n letters has up to n * n / 2 substrings, each a row of a shuffle.
 """
 
 from __future__ import annotations
@@ -26,11 +26,12 @@ from .common import written
 
 #: (verdict, host, path): a rule fits the host and its subdomains if the path starts with the rule's.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-MOST_WORDS, LONGEST_WORD, MOST_CACHED = 200_000, 24, 200_000
 #: Keys of a join that are broadcast; the others are shuffled. It changes no result.
 HOT = 50_000
+#: Characters of the substrings in an Arrow batch.
+BATCH_CHARS = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_tokens = re.compile(r"[^\W_]+").findall
+_tokens, _letters = re.compile(r"[^\W_]+").findall, re.compile(r"\D+").findall
 
 
 def after_scheme(url: Column) -> Column:
@@ -56,24 +57,24 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 class Segmenter:
-    """Unigram Viterbi: the most probable split of a name into words."""
+    """Unigram Viterbi: the most probable split of a name into words.
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    total: the sum of all words' counts, if counts has only some of the words.
+    """
+
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
+        self.longest = max(map(len, counts), default=0)
         self.unknown = math.log(total)  # of a word outside the model, and a factor of ten for each letter after the first
-        self.known: dict[str, list[str]] = {}
 
     def split(self, name: str) -> list[str]:
-        if name in self.known:
-            return self.known[name]
-        best, start = [0.0], [0]
+        best, start, ten = [0.0], [0], math.log(10)
         for end in range(1, len(name) + 1):
             options = []
-            for begin in range(max(0, end - LONGEST_WORD), end):
-                word = name[begin:end]
-                c = self.cost.get(word, self.unknown + (end - begin - 1) * math.log(10))
-                options.append((best[begin] + c, begin))
+            for begin in range(end):
+                c = self.cost.get(name[begin:end]) if end - begin <= self.longest else None
+                options.append((best[begin] + (self.unknown + (end - begin - 1) * ten if c is None else c), begin))
             cost, begin = min(options)
             best.append(cost)
             start.append(begin)
@@ -81,34 +82,67 @@ class Segmenter:
         while end:
             out.append(name[start[end] : end])
             end = start[end]
-        if len(self.known) >= MOST_CACHED:
-            self.known.clear()
-        self.known[name] = out[::-1]
-        return self.known[name]
+        return out[::-1]
 
 
-def train_words(urls: DataFrame) -> Segmenter:
-    """Unigrams of (host, path, title): words of titles and paths, and parts of labels that several hosts share.
+def train_words(urls: DataFrame) -> DataFrame:
+    """(word, n): unigrams of (host, path, title), words of titles and paths, and parts of labels that several hosts share.
 
     A label of one host only is a name to be split, not a word, so it doesn't count; each host counts a label once.
     """
     split = lambda c: F.explode(F.split(F.lower(F.regexp_replace(c, "[^\\p{L}]+", " ")), " ")).alias("word")
     running = urls.select(split("title")).unionByName(urls.select(split("path"))).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
     labels = urls.select("host").distinct().select("host", split("host")).where("word <> ''").groupBy("word").agg(F.countDistinct("host").alias("n")).where("n > 1")
-    counts = running.unionByName(labels).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(MOST_WORDS)
-    return Segmenter({r["word"]: r["n"] for r in counts.collect()})
+    return running.unionByName(labels).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hosts to the names in their labels."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([_tokens(h) for h in batch.column("host").to_pylist()], pa.list_(pa.string()))], names=["host", "names"])
+
+
+def _substrings(longest: int):
+    """Names to their substrings up to the longest word; words are of letters, so none holds a digit."""
 
+    def packed(rows: list[tuple[str, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["name", "word"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, chars = [], 0
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                for word in (x[i:j] for x in _letters(name) for i in range(len(x)) for j in range(i + 1, min(len(x), i + longest) + 1)):
+                    rows.append((name, word))
+                    chars += len(name) + len(word)
+                    if chars > BATCH_CHARS:
+                        yield packed(rows)
+                        rows, chars = [], 0
+        if rows:
+            yield packed(rows)
+
+    return run, "name string, word string"
 
-def _host_tokens(shared):
-    """Hosts to their tokens: words of the labels marked h:."""
+
+def _splits(total: int):
+    """Names and the counts of the words in them to the words of the best split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = shared.value
         for batch in batches:
-            found = [["h:" + w for part in _tokens(h) for w in seg.split(part)] for h in batch.column("host").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.list_(pa.string()))], names=["host", "features"])
+            names, known = (batch.column(c).to_pylist() for c in ("name", "known"))
+            found = [Segmenter({w["word"]: w["n"] for w in k or ()}, total).split(name) for name, k in zip(names, known, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("use"), pa.array(found, pa.list_(pa.string()))], names=["name", "use", "words"])
+
+    return run, "name string, use long, words array<string>"
+
 
-    return run, "host string, features array<string>"
+def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
+    """(name, use, words) for each row of names (name, use), names distinct: the best split by all of words (word, n)."""
+    size = words.agg(F.sum("n").alias("total"), F.max(F.length("word")).alias("longest")).first()
+    inside = written(names.select("name").mapInArrow(*_substrings(size["longest"] or 0)), "uf-substrings")
+    used = inside.groupBy("word").agg(F.count("*").alias("use")).join(words, "word", "left")
+    known = spread_join(inside, used, "word").where("n is not null").groupBy("name").agg(F.collect_set(F.struct("word", "n")).alias("known"))
+    return names.join(known, "name", "left").select("name", "use", "known").mapInArrow(*_splits(size["total"] or 0))
 
 
 def _path_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +172,6 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     Without trained urls the prior is even and
     the verdict allow. Repeated rows are judged alike. Columns other than page_id, url and html (if there) are not read.
     """
-    spark = pages.sparkSession
     url = F.col("url").cast("string")
     title = F.regexp_extract(F.col("html").cast("string"), r"(?is)<title>(.*?)</title>", 1) if "html" in pages.columns else F.lit("")
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), title.alias("title"))
@@ -147,9 +180,11 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     is_block, is_allow, is_open = F.col("verdict") == "block", F.col("verdict") == "allow", F.col("verdict").isNull()
     hosts = written(urls.groupBy("host").agg(F.count_if(is_block).alias("block"), F.count_if(is_allow).alias("allow"), F.count_if(is_open).alias("use")), "uf-hosts")
 
-    shared = spark.sparkContext.broadcast(train_words(urls))
-    of_host = hosts.select("host").mapInArrow(*_host_tokens(shared))
-    of_host = written(hosts.join(of_host, "host").select("host", "block", "allow", (F.col("use") > 0).cast("long").alias("use"), F.explode("features").alias("feature")), "uf-host-tokens")
+    named = hosts.select("host").mapInArrow(_names, "host string, names array<string>").select("host", F.explode("names").alias("name"))
+    splits = written(segmented(named.groupBy("name").agg(F.count("*").alias("use")), written(train_words(urls), "uf-words")), "uf-splits")
+    of_host = spread_join(named, splits, "name").select("host", F.explode("words").alias("word"))
+    of_host = hosts.join(of_host, "host").select("host", "block", "allow", (F.col("use") > 0).cast("long").alias("use"), F.concat(F.lit("h:"), "word").alias("feature"))
+    of_host = written(of_host, "uf-host-tokens")
     of_path = urls.select("row", "path", "verdict").mapInArrow(_path_tokens, "row long, verdict string, features array<string>").select("row", "verdict", F.explode("features").alias("feature"))
     by_path = of_path.groupBy("feature").agg(F.count_if(is_block).alias("block"), F.count_if(is_allow).alias("allow"), F.count_if(is_open).alias("use"))
     counted = of_host.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("block", "allow", "use")]).unionByName(by_path)  # h: and p: share no token

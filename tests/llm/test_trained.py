@@ -176,3 +176,27 @@ def test_every_token_weighs(spark, monkeypatch):
         if r.score is not None:
             assert r.score == pytest.approx(want[f"http://{r.host}{r.path}"], abs=1e-9) and r.verdict == ("block" if r.score > 0 else "allow")
     assert {r.verdict for r in got if r.page_id == 1000} == {"block"}
+
+
+def test_every_word_splits(spark):
+    """More words than were once kept: two of the rarest split a host, and their weights decide its verdict."""
+    letters = str.maketrans("0123456789", "abcdefghij")
+    fillers = [f"q{i}".translate(letters) for i in range(201_000)]
+    rows = [(i, f"http://a.com/fr/{i}", f"<title>{' '.join(fillers[1000 * i : 1000 * i + 1000] * 2)}</title>") for i in range(201)]
+    rows += [(300, "http://a.com/fr/x", "<title>zyzzyva zizania</title>"), (301, "http://zyzzyva.com/de/x", None), (302, "http://zizania.com/de/x", None), (303, "http://zyzzyvazizania.net", None)]
+    got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[303].verdict == "block"
+
+
+def test_splits_of_a_table(spark, monkeypatch):
+    """Names split by a table of words as by all words at once, also by words of more than 24 letters."""
+    monkeypatch.setattr(urlfilter, "HOT", 5)
+    monkeypatch.setattr(urlfilter, "BATCH_CHARS", 500)
+    rng = random.Random(3)
+    counts = {"".join(rng.choice("abé") for _ in range(rng.randrange(1, 7))): rng.randrange(1, 50) for _ in range(150)} | {"a" * 12 + "b" * 20: 3}
+    names = ["", "b7a", "é", "1" * 30, "x" * 60, "b" + "a" * 12 + "b" * 20 + "7"] + ["".join(rng.choice("abé7") for _ in range(rng.randrange(1, 40))) for _ in range(80)]
+    names = list(dict.fromkeys(names))
+    got = urlfilter.segmented(spark.createDataFrame([(n, 1) for n in names], "name string, use long"), spark.createDataFrame(list(counts.items()), "word string, n long")).collect()
+    whole = urlfilter.Segmenter(counts)
+    assert {r.name: r.words for r in got} == {n: whole.split(n) for n in names} and len(got) == len(names)
+    assert whole.split("b" + "a" * 12 + "b" * 20)[-1] == "a" * 12 + "b" * 20 and whole.split("x" * 60) == ["x" * 60]
