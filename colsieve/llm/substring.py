@@ -73,7 +73,7 @@ def _probes(buckets: int, window: int, block: int):
                 has_id = np.asarray(batch.column("doc_id").is_valid())
                 raw = buf.tobytes()
                 shas = b"".join(hashlib.sha256(b" ".join(raw[at[i] : at[i + 1]].split())).digest() for i in range(len(ids)))
-                name = int.from_bytes(hashlib.blake2b(ids.tobytes() + shas, digest_size=8).digest(), "little", signed=True)
+                name = int.from_bytes(hashlib.blake2b(ids.tobytes() + has_id.tobytes() + shas, digest_size=8).digest(), "little", signed=True)
                 out = [(-1 - name % buckets, name, ids.tobytes() + has_id.tobytes(), np.diff(bound).astype(np.int64).tobytes(), shas)]
                 pos, text = runs(bound, block, window)
                 if len(pos):
@@ -109,8 +109,12 @@ def _match(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A slice's header and anchors to one row for each document; anchors null if it has none."""
-    head = pdf[pdf["c"].notna()].iloc[0]
+    """A slice's header and anchors to one row for each document; anchors null if it has none.
+
+    Slices of equal content share one name, and have equal results: copies is how many there are.
+    """
+    heads = pdf[pdf["c"].notna()]
+    head = heads.iloc[0]
     size, sha = np.frombuffer(head["b"], np.int64), head["c"]
     ids, has_id = np.frombuffer(head["a"][: 8 * len(size)], np.int64), np.frombuffer(head["a"][8 * len(size) :], bool)
     found = pdf[pdf["c"].isna()]
@@ -122,9 +126,9 @@ def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
         text, prints = text[order], prints[order]
         cut = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1], [True])))
         for i, j in zip(cut[:-1], cut[1:], strict=True):
-            anchors[text[i]] = planes(prints[i:j])
+            anchors[text[i]] = planes(np.unique(prints[i:j]))
     doc_id = pd.arrays.IntegerArray(ids.copy(), ~has_id)
-    return pd.DataFrame({"doc_id": doc_id, "n_words": size, "full_sha": [sha[32 * i : 32 * i + 32] for i in range(len(ids))], "anchors": anchors})
+    return pd.DataFrame({"doc_id": doc_id, "n_words": size, "full_sha": [sha[32 * i : 32 * i + 32] for i in range(len(ids))], "anchors": anchors, "copies": len(heads)})
 
 
 def _windows(buckets: int, window: int, block: int):
@@ -236,8 +240,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, wi
     buckets = max(8, -(-total // BUCKET_BYTES))
     packed = texts.mapInArrow(_probes(buckets, window, block), _PACKED)
     matched = packed.groupBy("bucket").applyInPandas(_match, "slice long, a binary, b binary, c binary")
-    own = matched.groupBy("slice").applyInPandas(_by_document, "doc_id long, n_words long, full_sha binary, anchors binary")
-    own = written(own, "ss-documents")
+    own = matched.groupBy("slice").applyInPandas(_by_document, "doc_id long, n_words long, full_sha binary, anchors binary, copies int")
+    own = written(own.select("doc_id", "n_words", "full_sha", "anchors", F.explode(F.sequence(F.lit(1), "copies"))).drop("col"), "ss-documents")
     release(spark)
 
     with_anchors = own.where("anchors is not null and doc_id is not null")

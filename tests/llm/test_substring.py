@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 from helpers import odd_docs, words_of
@@ -33,6 +34,17 @@ def test_odd_rows(odd, none):
     assert remove_repeats(none).count() == 0
 
 
+def test_slices_of_equal_content(spark):
+    """Parts with the same rows give their rows once each; a null id and id 0 stay apart."""
+    docs, want = [d[:2] for d in odd_docs()], brute(odd_docs(), 50)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = remove_repeats(df.union(df).union(df)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(d[0] for d in docs * 3)
+    assert all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in got if r.doc_id is not None)
+    one = [spark.createDataFrame([(i, "a b c")], "doc_id long, text string") for i in (None, 0)]
+    assert Counter(r.doc_id for r in remove_repeats(one[0].union(one[1])).collect()) == Counter([None, 0])
+
+
 @pytest.mark.parametrize(("window", "block"), [(50, 25), (7, 4), (9, 2)])
 def test_planted_passages(spark, window, block):
     rng = random.Random(window)
