@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key with more than 1/HOT of a join's rows is joined by broadcast; there are at most HOT of them, whatever the input.
+HOT = 20_000
 _own_dir: str | None = None
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """The folder named in ``spark.checkpoint.dir``. Where that is unset, a local master gets a temporary one; any other raises."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="colsieve-")
     return _own_dir
@@ -31,22 +35,61 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
-def discard(df: DataFrame) -> None:
+@contextlib.contextmanager
+def scratch():
+    """Deletes at its end what was ``written`` inside, but for the frames handed to ``keep``."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        discard(*_scopes.pop())
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Hands df on to the scope outside, if there is one: a lazy result still reads it."""
+    _scopes[-1].remove(df)
+    if len(_scopes) > 1:
+        _scopes[-2].append(df)
+    return df
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*frames: DataFrame) -> None:
     """Deletes what ``written`` wrote, once nothing that is still lazy reads it."""
-    path = getattr(df, "_written_path", None)
-    if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    for df in frames:
+        if getattr(df, "_written_path", None):
+            delete(df.sparkSession, df._written_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """left with the columns of right (key, ..., use), a lookup with one row for each key; how: left or inner.
+
+    use: how many rows of left have the key, at least. Rows of keys that hold more than 1/``HOT`` of all stay where they are and
+    meet a broadcast of at most ``HOT`` rows; the others are shuffled by a key that can't fill a task.
+    """
+    size = right.agg(F.sum("use").alias("all"), F.max("use").alias("most")).first()
+    total, plain = size["all"] or 0, right.drop("use")
+    if (size["most"] or 0) * HOT <= total:
+        return left.join(plain, key, how)
+    hot = right.where(F.col("use") * HOT > total).drop("use").withColumn("_hot", F.lit(True))
+    tried = left.join(F.broadcast(hot), key, "left")
+    rest = tried.where("_hot is null").select(*[F.col(f"`{c}`") for c in left.columns]).join(plain, key, how)
+    return tried.where("_hot").drop("_hot").unionByName(rest)
+
+
 def _state(edges: DataFrame) -> tuple:
     """Number of edges and an order-free checksum; equal states end the iteration."""
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
@@ -57,7 +100,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of the undirected edges (a, b); component is the smallest node reachable.
 
     Alternating large-star and small-star rounds, each a partial aggregation and a join, written to the shared
-    folder. Rows never outnumber the edges, so one huge component costs no more than many small ones.
+    folder. Rows never outnumber the edges, so one huge component costs no more than many small ones; the node that
+    a huge component gathers around is joined by broadcast.
     Self-loops and nulls are ignored. Raises if the rounds don't settle rather than returning a partial answer.
     """
     pairs = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -68,14 +112,14 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         # large-star: every neighbour larger than u moves to the smallest of u and its neighbours
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("use")).select("a", F.least("a", "m").alias("m"), "use")
+        large = spread_join(both.where("b > a"), least, "a", "inner").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = written(large.where("a <> b").distinct(), "cc")
         # small-star: the smaller neighbours and u itself move to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("use"))
+        small = spread_join(large, least, "a", "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         after = written(small.where("a <> b").distinct(), "cc")
-        discard(now)
+        discard(now, large)
         now, before, state = after, state, _state(after)
         if state == before:
             break
@@ -95,9 +139,3 @@ def arrow_rows(spark: SparkSession, n: int):
         yield
     finally:
         spark.conf.set(key, before)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that are no longer referenced, before the next large stage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -1,36 +1,37 @@
 """Exact duplicates against immutable snapshots, screened by static binary-fuse filters.
 
-Method. A snapshot holds one row for each distinct digest (SHA-256 of the text with A-Z lower-cased) in buckets of
-the digest, and for each bucket a binary-fuse filter: 8-bit fingerprints, about 1.13 bytes a digest, built once and
-never changed. A new batch is first grouped by itself. Its distinct digests meet only the filter of their own bucket;
-those the filter rejects are new and need no join. Those it accepts join the exact bucket by digest. Every group of
-more than one row is then checked byte by byte: rows are grouped by digest and text, so copies collapse before the
-shuffle, and one digest with two texts stops the job.
-
-Scale. Buckets are sized by the number of rows, so a filter and its keys fit one task at any input. A group of copies,
-however large, is one row after partial aggregation. The digests to check are broadcast only while their number
-is below ``MOST_BROADCAST``; beyond it the join is shuffled.
+Method. A ``Store`` is a folder of snapshots side by side, each written once. A snapshot has a row for each text that no
+earlier one has, in exact buckets of the digest (SHA-256 of the text with A-Z lower-cased), and for each bucket a binary-fuse
+filter: 8-bit fingerprints, about 1.13 bytes a digest. A new batch is first grouped by itself. Its distinct digests meet
+the filters only; those that all filters reject are new and need no join. Those accepted join their exact buckets, and the
+bytes are compared: what has one digest but another text is another text. Adding a batch writes a further snapshot and
+rebuilds nothing.
+
+Scale. Digests are made in the JVM. Buckets are sized by the number of rows, so a filter and its keys fit one task at any
+input. A group of copies, however large, is one row after partial aggregation, also where texts are compared; texts move only
+for digests that occur more than once and, into the snapshot, once each. Digests are broadcast only while there are at most
+``MOST_BROADCAST`` of them (about 100 bytes each in memory), beyond that the join is shuffled.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import written
-from .text import mixed, slices
+from .common import delete, keep, scratch, shared_dir, spread_join, written
+from .text import mixed
 
 _U = np.uint64
-BUCKET_ROWS = 200_000
-MOST_BROADCAST = 1_000_000
+BUCKET_ROWS = 25_000
+MOST_BROADCAST = 200_000
+_TEXTS = "digest binary, body binary, size long, keep_id long, keep_row long"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 class BinaryFuse8:
@@ -101,127 +102,179 @@ class BinaryFuse8:
         return cls(*struct.unpack_from("<qqq", raw), np.frombuffer(raw, np.uint8, offset=24))
 
 
-def normalised(text: str | None) -> bytes:
+def normalised(text: Column) -> Column:
     """UTF-8 with A-Z lower-cased and nothing else changed; null counts as empty."""
-    return (text or "").encode().lower()
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    ascii_only = F.octet_length(whole) == F.char_length(whole)  # lower() changes nothing but A-Z there, and is faster
+    return F.when(ascii_only, F.lower(whole)).otherwise(F.translate(whole, UPPER, LOWER)).cast("binary")
 
 
-def _hashed(with_body: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                bodies = [normalised(t) for t in batch.column("text").to_pylist()]
-                digests = [hashlib.sha256(b).digest() for b in bodies]
-                last = pa.array(bodies, pa.binary()) if with_body else pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(digests, pa.binary()), last], names=["doc_id", "digest", "body" if with_body else "key"])
+def sha256(body: Column) -> Column:
+    return F.unhex(F.sha2(body, 256))
 
-    return run, "doc_id long, digest binary, " + ("body binary" if with_body else "key long")
 
+def _key(digest: str = "digest") -> Column:
+    """64 bits of the digest, for buckets and filters."""
+    return F.xxhash64(digest)
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, key, row): the digest of each row, and a number that tells repeated rows apart once written."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(*_hashed(False)).withColumn("row", F.monotonically_increasing_id())
 
+def _few(digests: DataFrame) -> DataFrame:
+    return F.broadcast(digests) if digests.count() <= MOST_BROADCAST else digests
 
-def groups(hashed: DataFrame) -> DataFrame:
-    """One row for each digest of a batch: (digest, key, size, keep_id)."""
-    return hashed.groupBy("digest", "key").agg(F.count("*").alias("size"), F.max("doc_id").alias("keep_id"))
 
-
-def build_filters(snapshot: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, filter) over a snapshot's groups, one filter for each bucket of keys."""
+def _filters(keyed: DataFrame) -> DataFrame:
+    """(bucket, filter) of (bucket, key)."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = BinaryFuse8.build(pdf["key"].to_numpy().view(np.uint64)).to_bytes()
         return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "filter": [raw]})
 
-    keyed = snapshot.select(F.pmod("key", F.lit(buckets)).alias("bucket"), "key")
     return keyed.groupBy("bucket").applyInPandas(build, "bucket long, filter binary")
 
 
-def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
-    """incoming's groups with ``maybe``: false means that the snapshot certainly lacks the digest."""
+def _accepted(batch: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, digest) of the batch's digests that the filters can't rule out."""
 
     def probe(_key, batch: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        batch["maybe"] = BinaryFuse8.from_bytes(own["filter"].iloc[0]).contains(batch["key"].to_numpy().view(np.uint64)) if len(own) else False
-        return batch[["digest", "key", "size", "keep_id", "maybe"]]
+        if not len(batch) or not len(own):
+            return pd.DataFrame({"bucket": pd.Series(dtype="int64"), "digest": pd.Series(dtype="object")})
+        maybe = BinaryFuse8.from_bytes(own["filter"].iloc[0]).contains(batch["key"].to_numpy().view(np.uint64))
+        return batch.loc[maybe, ["bucket", "digest"]]
+
+    keyed = batch.select("digest", _key().alias("key")).withColumn("bucket", F.pmod("key", F.lit(buckets)))
+    return keyed.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(probe, "bucket long, digest binary")
+
 
-    keyed = incoming.withColumn("bucket", F.pmod("key", F.lit(buckets)))
-    return keyed.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(probe, "digest binary, key long, size long, keep_id long, maybe boolean")
+def digests(docs: DataFrame, digest: Callable[[Column], Column] = sha256, *more: Column) -> DataFrame:
+    """(doc_id, digest, row, more), written: row tells repeated rows apart."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(normalised(F.col("text"))).alias("digest"), F.monotonically_increasing_id().alias("row"), *more)
+    return written(rows, "ed-rows")
 
 
-def merge_batch(snapshot: DataFrame, incoming: DataFrame, buckets: int) -> DataFrame:
-    """The groups (digest, key, size, keep_id) of a snapshot and a new batch together.
+class Store:
+    """Snapshots in one folder, each immutable; every distinct text is in exactly one.
 
-    Screened digests that the filter rejects stay groups of the batch; accepted ones join the snapshot's exact bucket.
+    A snapshot's folder holds ``texts`` (bucket, digest, body, size, keep_id, keep_row), ``again``, the same for copies of texts
+    of earlier snapshots, ``filters`` (bucket, filter) and ``ready`` (buckets), written last: without it the snapshot doesn't exist.
     """
-    filters = written(build_filters(snapshot, buckets), "ed-filters")
-    screened = written(screen(incoming, filters, buckets), "ed-screened")
-    maybe = screened.where("maybe").select("digest", F.col("size").alias("more"), F.col("keep_id").alias("other"))
-    met = snapshot.join(maybe, "digest", "left").select("digest", "key", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), F.greatest("keep_id", "other").alias("keep_id"))
-    false = screened.where("maybe").join(snapshot.select("digest"), "digest", "left_anti").drop("maybe")
-    return met.unionByName(screened.where("not maybe").drop("maybe")).unionByName(false)
-
-
-def check_bytes(docs: DataFrame, merged: DataFrame) -> None:
-    """Compares the texts of every group of more than one row; raises if one digest stands for two texts."""
-    several = merged.where("size > 1").select("digest")
-    if several.count() <= MOST_BROADCAST:  # 32 bytes each
-        several = F.broadcast(several)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bodies = rows.mapInArrow(*_hashed(True)).select("digest", "body").join(several, "digest", "left_semi").groupBy("digest", "body").agg(F.count("*").alias("n"))
-    wrong = bodies.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1")
-    if not wrong.isEmpty():
-        raise RuntimeError("two texts share one SHA-256 digest; their groups can't be told apart")
-
-
-def exact_duplicates(docs: DataFrame, is_new: str | None = None) -> DataFrame:
+
+    def __init__(self, spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256):
+        self.spark, self.path, self.digest = spark, path.rstrip("/"), digest
+
+    def snapshots(self) -> list[tuple[str, int]]:
+        """Path and number of buckets of each, the oldest first."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/snapshot-*/ready/_SUCCESS")
+        found = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at) or []
+        paths = sorted(f.getPath().getParent().getParent().toString() for f in found)
+        return [(p, self.spark.read.schema("buckets long").parquet(f"{p}/ready").first()["buckets"]) for p in paths]
+
+    def known(self) -> DataFrame | None:
+        """(digest, body, texts, size, keep_id, keep_row) of all snapshots; texts is 1 for a text itself, 0 for later copies."""
+        out = None
+        for path, _ in self.snapshots():
+            for part, n in (("texts", 1), ("again", 0)):
+                one = self.spark.read.schema(_TEXTS).parquet(f"{path}/{part}").select("digest", "body", F.lit(n).alias("texts"), "size", "keep_id", "keep_row")
+                out = one if out is None else out.unionByName(one)
+        return out
+
+    def _bodies(self, batch: DataFrame) -> DataFrame:
+        """(digest, body) from the exact buckets of the batch's digests that some filter accepts."""
+        out = self.spark.createDataFrame([], "digest binary, body binary")
+        for path, buckets in self.snapshots():
+            accepted = _accepted(batch, self.spark.read.schema("bucket long, filter binary").parquet(f"{path}/filters"), buckets)
+            texts = self.spark.read.schema(f"{_TEXTS}, bucket long").parquet(f"{path}/texts").select("bucket", "digest", "body")
+            out = out.unionByName(texts.join(accepted, ["bucket", "digest"], "left_semi").select("digest", "body"))
+        return out
+
+    def match(self, docs: DataFrame, hashed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The groups of a batch: those of new texts and those of texts of the snapshots, (digest, body, texts, size, keep_id, keep_row).
+
+        hashed: ``digests`` of docs. body is null for a new text that occurs once; any other was compared byte by byte.
+        """
+        sizes = [F.count("*").alias("size"), F.max("doc_id").alias("keep_id"), F.coalesce(F.max_by("row", "doc_id"), F.min("row")).alias("keep_row")]
+        batch = written(hashed.groupBy("digest").agg(*sizes), "ed-batch")
+        bodies = written(self._bodies(batch), "ed-bodies")
+        several = batch.where("size > 1").select("digest").unionByName(bodies.select("digest")).distinct()
+        once = batch.join(_few(written(bodies.select("digest").distinct(), "ed-known")), "digest", "left_anti").where("size = 1")
+        several = _few(written(several, "ed-several"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("body")).withColumn("digest", self.digest(F.col("body")))
+        # keep_row of a group is that of its digest, but where one digest has several texts
+        groups = texts.join(several, "digest", "left_semi").groupBy("digest", "body").agg(F.count("*").alias("size"), F.max("doc_id").alias("keep_id"))
+        groups = written(groups.join(batch.select("digest", "keep_row"), "digest"), "ed-groups")
+        columns = ["digest", "body", "texts", "size", "keep_id", "keep_row"]
+        same = ["digest", "body"]
+        new = groups.join(bodies, same, "left_anti").withColumn("texts", F.lit(1)).select(columns)
+        new = new.unionByName(once.select("digest", F.lit(None).cast("binary").alias("body"), F.lit(1).alias("texts"), "size", "keep_id", "keep_row"))
+        return new, groups.join(bodies, same, "left_semi").withColumn("texts", F.lit(0)).select(columns)
+
+    def add(self, docs: DataFrame, hashed: DataFrame | None = None) -> None:
+        """Adds a batch (doc_id, text, ...) as a further snapshot."""
+        new, again = self.match(docs, digests(docs, self.digest) if hashed is None else hashed)
+        path = f"{self.path}/snapshot-{len(self.snapshots()) + 1:08d}"
+        buckets = max(1, -(-new.count() // BUCKET_ROWS))
+        again.drop("texts").write.mode("overwrite").parquet(f"{path}/again")
+        bucket = F.pmod(_key(), F.lit(buckets)).alias("bucket")
+        single = new.where("body is null").drop("body", "texts")
+        texts = docs.select(normalised(F.col("text")).alias("body")).withColumn("digest", self.digest(F.col("body")))
+        texts = texts.join(single, "digest").select("digest", "body", "size", "keep_id", "keep_row")
+        texts = texts.unionByName(new.where("body is not null").drop("texts")).select("*", bucket)
+        texts.repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/texts")
+        keyed = self.spark.read.schema(f"{_TEXTS}, bucket long").parquet(f"{path}/texts").select("bucket", _key().alias("key"))
+        _filters(keyed).write.mode("overwrite").parquet(f"{path}/filters")
+        self.spark.createDataFrame([(buckets,)], "buckets long").write.mode("overwrite").parquet(f"{path}/ready")
+
+
+def exact_duplicates(docs: DataFrame, is_new: str | None = None, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for each row of docs (doc_id, text, ...).
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. The row with the largest doc_id
     stays. Among repeated rows with that same doc_id exactly one is kept; a null doc_id counts as the smallest. ``is_new``: SQL
-    condition on doc_id for the rows of the new batch, the others are the snapshot; without it half of the ids by
+    condition on doc_id for the rows of the new batch, the others become a snapshot; without it half of the ids by
     hash. The result does not depend on it. Columns other than doc_id and text are not read.
     """
-    hashed = written(digests(docs), "ed-digests")
-    buckets = max(1, -(-hashed.count() // BUCKET_ROWS))
-    new = F.expr(is_new) if is_new else F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    spark = docs.sparkSession
+    new = F.expr(is_new) if is_new else F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(2)) == 1
     new = F.coalesce(new, F.lit(True))
-    merged = merge_batch(written(groups(hashed.where(~new)), "ed-snapshot"), groups(hashed.where(new)), buckets)
-    merged = written(merged, "ed-groups")
-    check_bytes(docs, merged)
-    rows = hashed.join(merged.select("digest", "keep_id", F.col("size").alias("group_size")), "digest")
-    # of repeated rows with one doc_id the first as written stays
-    stays = rows.where("doc_id <=> keep_id").groupBy("digest").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("stays"))
-    out = rows.join(stays, "row", "left")
-    return out.select("doc_id", "keep_id", "group_size", F.coalesce("stays", F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    with scratch():
+        hashed = keep(digests(docs, digest, new.alias("new")))
+        store = Store(spark, f"{shared_dir(spark)}/ed-store-{uuid.uuid4().hex}", digest)
+        store.add(docs.where(~new), hashed.where("not new"))
+        found, again = store.match(docs.where(new), hashed.where("new"))
+        every = store.known().unionByName(found).unionByName(again)
+        merge = [F.sum("texts").alias("texts"), F.sum("size").alias("size"), F.max("keep_id").alias("keep_id"), F.coalesce(F.max_by("keep_row", "keep_id"), F.min("keep_row")).alias("keep_row")]
+        total = keep(written(every.groupBy("digest").agg(*merge), "ed-total"))
+        split = total.where("texts > 1").select("digest")
+        apart = None
+        if not split.isEmpty():  # one digest, several texts: their rows are told apart by the text
+            groups = every.join(split, "digest", "left_semi").groupBy("digest", "body").agg(F.sum("size").alias("size"), F.max("keep_id").alias("keep_id"))
+            texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("body")).withColumn("digest", digest(F.col("body")))
+            texts = written(texts.join(split, "digest", "left_semi").withColumn("row", F.monotonically_increasing_id()), "ed-split")
+            stays = texts.groupBy("digest", "body").agg(F.coalesce(F.max_by("row", "doc_id"), F.min("row")).alias("keep_row"))
+            apart = keep(written(texts.join(groups, ["digest", "body"]).join(stays, ["digest", "body"]).drop("body"), "ed-apart"))
+        delete(spark, store.path)
+    columns = ["doc_id", "digest", "row", "size", "keep_id", "keep_row"]
+    rows = spread_join(hashed.select("doc_id", "digest", "row"), total.where("texts = 1").withColumn("use", F.col("size")), "digest", "inner").select(columns)
+    rows = rows if apart is None else rows.unionByName(apart.select(columns))
+    return rows.select("doc_id", "keep_id", F.col("size").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns unchanged, that ``exact_duplicates`` keeps: one of each group of equal texts.
 
-    Rows to drop are broadcast while there are at most ``MOST_BROADCAST`` of them, else the join is shuffled.
+    Nulls, ties and repeated rows: as there; an empty table stays empty.
     """
-    flags = written(exact_duplicates(docs).select(F.col("doc_id").alias("_of"), "kept", F.col("text_sha256").alias("_sha")), "ed-flags")
-    per_text = flags.groupBy("_of", "_sha").agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
-    lost = written(per_text.where("not kept").select("_of", "_sha"), "ed-lost")
-    repeated = per_text.where("kept and times > 1").select("_of", "_sha")
-    schema = T.StructType([T.StructField("_doc", docs.schema), T.StructField("_id", T.LongType()), T.StructField("_text_sha", T.StringType())])
-
-    def add_sha(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "_text"):
-                shas = [hashlib.sha256(normalised(t)).hexdigest() for t in batch.column("_text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("_doc"), batch.column("_id"), pa.array(shas, pa.string())], names=schema.names)
-
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), docs["doc_id"].cast("long").alias("_id"), docs["text"].cast("string").alias("_text"))
-    rows = rows.mapInArrow(add_sha, schema)
-    same = F.expr("_id <=> _of and _text_sha = _sha")
-    near = lambda df: F.broadcast(df) if df.count() <= MOST_BROADCAST else df
-    rows = rows.join(near(lost), same, "left_anti")
+    with scratch():
+        flags = exact_duplicates(docs).groupBy(F.col("doc_id").alias("_of"), F.unhex("text_sha256").alias("_is"))
+        flags = written(flags.agg(F.max("kept").alias("kept"), F.count("*").alias("times")), "ed-flags")
+        lost = keep(written(flags.where("not kept").select("_of", "_is"), "ed-lost"))
+        repeated = keep(written(flags.where("kept and times > 1").select("_of", "_is"), "ed-repeated"))
+    # a struct of all columns, so that no column of docs can clash
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_doc"), docs["doc_id"].cast("long").alias("_id"), sha256(normalised(docs["text"])).alias("_sha"))
+    same = F.expr("_id <=> _of and _sha = _is")
+    rows = rows.join(_few(lost), same, "left_anti")
     if not repeated.isEmpty():
-        repeated = written(repeated, "ed-repeated")
-        once = rows.join(near(repeated), same, "left_semi").groupBy("_id", "_text_sha").agg(F.first("_doc").alias("_doc"))
-        rows = rows.join(near(repeated), same, "left_anti").select("_doc").unionByName(once.select("_doc"))
+        repeated = _few(repeated)
+        once = rows.join(repeated, same, "left_semi").groupBy("_id", "_sha").agg(F.first("_doc").alias("_doc"))
+        rows = rows.join(repeated, same, "left_anti").select("_doc").unionByName(once.select("_doc"))
     return rows.select("_doc.*")
+

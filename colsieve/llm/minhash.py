@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, connected_components, discard, release, written
+from .common import arrow_rows, connected_components, discard, written
 from .text import joined_buffer, mixed, shingle_sets, slices
 
 UNIVERSE_BITS = 20
@@ -229,9 +229,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     ratio = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     sized = lambda pairs: pairs.join(size.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(size.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b").where(f"{ratio} and {_similar('sa', 'sb')}")
     star = sized(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()).select("a", "b")
-    release(texts.sparkSession)
     first = _verified(star, texts, words, percent)
-    release(texts.sparkSession)
     # equal sets whose smallest ids differ are one class; a doc_id may still stand for several sets
     same = sets.join(classes.select("sig", "rep"), "sig").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     comps = written(connected_components(first.where("linked").select("a", "b")), "nd-components")

@@ -1,11 +1,15 @@
+import glob
 import hashlib
+import os
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from helpers import odd_docs
+from pyspark.sql import functions as F
 
-from colsieve.llm.exactdedup import BinaryFuse8, check_bytes, deduplicated, exact_duplicates
+from colsieve.llm.exactdedup import BinaryFuse8, Store, deduplicated, exact_duplicates, sha256
 
 
 def norm(text):
@@ -56,24 +60,34 @@ def test_filter(n):
         assert len(f.prints) < 1.25 * n
 
 
-def test_colliding_digests_stop_the_job(spark, monkeypatch):
-    """A digest that stands for two texts: the bytes are compared, so the job does not merge them."""
-    docs = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")
-    digest = hashlib.sha256(b"a").digest()
-    merged = spark.createDataFrame([(bytearray(digest), 2)], "digest binary, size long")
-    check_bytes(docs, merged)
-    import colsieve.llm.exactdedup as x
-
-    def weak(with_body):
-        import pyarrow as pa
-
-        def run(batches):
-            for b in batches:
-                bodies = [t.encode() for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([digest] * len(bodies), pa.binary()), pa.array(bodies, pa.binary())], names=["doc_id", "digest", "body"])
-
-        return run, "doc_id long, digest binary, body binary"
-
-    monkeypatch.setattr(x, "_hashed", weak)
-    with pytest.raises(RuntimeError):
-        check_bytes(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"), merged)
+def weak(body):
+    """A digest of a few values only, so that many texts share one."""
+    return F.unhex(F.substring(F.sha2(body, 256), 1, 1))
+
+
+@pytest.mark.parametrize("is_new", [None, "false", "true"])
+def test_texts_that_share_a_digest_are_told_apart(odd, is_new):
+    got = exact_duplicates(odd, is_new, weak).select("doc_id", "keep_id", "group_size", "kept").collect()
+    want = exact_duplicates(odd).select("doc_id", "keep_id", "group_size", "kept").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("digest", [sha256, weak])
+def test_a_store_of_three_batches(spark, tmp_path, digest):
+    """Each batch adds a snapshot and changes no file of the earlier ones; together they hold the groups of all rows."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["A", "a", "b", None, "", "Ä", "ä", *(f"text {k}" for k in range(60))])) for i in range(300)]
+    store, seen = Store(spark, f"file://{tmp_path}/store", digest), {}
+    for n in range(3):
+        store.add(spark.createDataFrame(rows[n * 100 : n * 100 + 100], "doc_id long, text string"))
+        files = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{tmp_path}/store/**/*", recursive=True) if os.path.isfile(f)}
+        assert all(files.get(f) == t for f, t in seen.items())
+        seen = files
+    assert len(store.snapshots()) == 3
+    want = defaultdict(list)
+    for i, t in rows:
+        want[norm(t)].append(i)
+    texts = {norm(t): t for _, t in rows}
+    known = store.known().groupBy("digest", "body").agg(F.sum("texts").alias("texts"), F.sum("size").alias("size"), F.max("keep_id").alias("keep_id")).collect()
+    assert {bytes(r.body): (r.texts, r.size, r.keep_id) for r in known} == {t: (1, len(ids), max(ids)) for t, ids in want.items()}
+    assert len(known) == len(texts)
