@@ -1,16 +1,16 @@
 """Exact duplicates against immutable snapshots, screened by static binary-fuse filters.
 
-Method. A ``Store`` is a folder of snapshots side by side, each written once. A snapshot has a row for each text that no
-earlier one has, in exact buckets of the digest (SHA-256 of the text with A-Z lower-cased), and for each bucket a binary-fuse
+Method. A ``Store`` is a folder of snapshots side by side, each written once. A snapshot has a row for each digest (SHA-256 of
+the text with A-Z lower-cased) that no earlier one has, in exact buckets of the digest, and for each bucket a binary-fuse
 filter: 8-bit fingerprints, about 1.13 bytes a digest. A new batch is first grouped by itself. Its distinct digests meet
-the filters only; those that all filters reject are new and need no join. Those accepted join their exact buckets, and the
-bytes are compared: what has one digest but another text is another text. Adding a batch writes a further snapshot and
-rebuilds nothing.
+the filters only; those that all filters reject are new and need no join. Those accepted join their exact buckets. The texts of
+every digest that occurs more than once are compared byte by byte: what has one digest but another text is another text. Adding a
+batch writes a further snapshot and rebuilds nothing.
 
 Scale. Digests are made in the JVM. Buckets are sized by the number of rows, so a filter and its keys fit one task at any
 input. A group of copies, however large, is one row after partial aggregation, also where texts are compared; texts move only
-for digests that occur more than once and, into the snapshot, once each. Digests are broadcast only while there are at most
-``MOST_BROADCAST`` of them (about 100 bytes each in memory), beyond that the join is shuffled.
+for digests that occur more than once, so the shuffle follows the number of rows and the duplicates, not the bytes. Digests are
+broadcast only while there are at most ``MOST_BROADCAST`` of them (about 100 bytes each in memory), beyond that the join is shuffled.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from .text import mixed
 _U = np.uint64
 BUCKET_ROWS = 25_000
 MOST_BROADCAST = 200_000
-_TEXTS = "digest binary, body binary, size long, keep_id long, keep_row long"
+_GROUPS = "digest binary, texts long, size long, keep_id long, keep_row long"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -152,14 +152,16 @@ def digests(docs: DataFrame, digest: Callable[[Column], Column] = sha256, *more:
 
 
 class Store:
-    """Snapshots in one folder, each immutable; every distinct text is in exactly one.
+    """Snapshots in one folder, each immutable.
 
-    A snapshot's folder holds ``texts`` (bucket, digest, body, size, keep_id, keep_row), ``again``, the same for copies of texts
-    of earlier snapshots, ``filters`` (bucket, filter) and ``ready`` (buckets), written last: without it the snapshot doesn't exist.
+    A snapshot's folder holds ``groups`` (bucket, digest, texts, size, keep_id, keep_row) of the digests with new texts, ``again``, the
+    same for digests whose texts earlier snapshots have, ``filters`` (bucket, filter), ``documents`` (text) for comparing
+    bytes, and ``ready`` (buckets), written last: without it the snapshot doesn't exist.
     """
 
     def __init__(self, spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256):
         self.spark, self.path, self.digest = spark, path.rstrip("/"), digest
+        self._own: dict[str, DataFrame] = {}
 
     def snapshots(self) -> list[tuple[str, int]]:
         """Path and number of buckets of each, the oldest first."""
@@ -168,58 +170,61 @@ class Store:
         paths = sorted(f.getPath().getParent().getParent().toString() for f in found)
         return [(p, self.spark.read.schema("buckets long").parquet(f"{p}/ready").first()["buckets"]) for p in paths]
 
-    def known(self) -> DataFrame | None:
-        """(digest, body, texts, size, keep_id, keep_row) of all snapshots; texts is 1 for a text itself, 0 for later copies."""
-        out = None
+    def _documents(self, path: str) -> DataFrame:
+        """(text) of a snapshot."""
+        name = path.rsplit("/", 1)[-1]
+        return self._own[name] if name in self._own else self.spark.read.schema("text string").parquet(f"{path}/documents")
+
+    def known(self) -> DataFrame:
+        """(digest, texts, size, keep_id, keep_row) of all snapshots, not yet merged; texts: how many new texts the snapshot has."""
+        out = self.spark.createDataFrame([], _GROUPS)
         for path, _ in self.snapshots():
-            for part, n in (("texts", 1), ("again", 0)):
-                one = self.spark.read.schema(_TEXTS).parquet(f"{path}/{part}").select("digest", "body", F.lit(n).alias("texts"), "size", "keep_id", "keep_row")
-                out = one if out is None else out.unionByName(one)
+            for part in ("groups", "again"):
+                out = out.unionByName(self.spark.read.schema(_GROUPS).parquet(f"{path}/{part}").select(out.columns))
         return out
 
-    def _bodies(self, batch: DataFrame) -> DataFrame:
-        """(digest, body) from the exact buckets of the batch's digests that some filter accepts."""
-        out = self.spark.createDataFrame([], "digest binary, body binary")
-        for path, buckets in self.snapshots():
-            accepted = _accepted(batch, self.spark.read.schema("bucket long, filter binary").parquet(f"{path}/filters"), buckets)
-            texts = self.spark.read.schema(f"{_TEXTS}, bucket long").parquet(f"{path}/texts").select("bucket", "digest", "body")
-            out = out.unionByName(texts.join(accepted, ["bucket", "digest"], "left_semi").select("digest", "body"))
-        return out
+    def bodies(self, docs: DataFrame, digests: DataFrame) -> DataFrame:
+        """The distinct (digest, body) of docs (text) whose digest is in digests (digest), distinct."""
+        texts = docs.select(normalised(F.col("text")).alias("body")).withColumn("digest", self.digest(F.col("body")))
+        return texts.join(_few(digests), "digest", "left_semi").select("digest", "body").distinct()
 
-    def match(self, docs: DataFrame, hashed: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The groups of a batch: those of new texts and those of texts of the snapshots, (digest, body, texts, size, keep_id, keep_row).
+    def match(self, docs: DataFrame, hashed: DataFrame) -> DataFrame:
+        """The groups of a batch: (digest, texts, size, keep_id, keep_row); texts: how many of its texts no snapshot has.
 
-        hashed: ``digests`` of docs. body is null for a new text that occurs once; any other was compared byte by byte.
+        hashed: ``digests`` of docs. A digest that occurs once in all has one text; the others' texts are compared byte by byte.
         """
         sizes = [F.count("*").alias("size"), F.max("doc_id").alias("keep_id"), F.coalesce(F.max_by("row", "doc_id"), F.min("row")).alias("keep_row")]
         batch = written(hashed.groupBy("digest").agg(*sizes), "ed-batch")
-        bodies = written(self._bodies(batch), "ed-bodies")
-        several = batch.where("size > 1").select("digest").unionByName(bodies.select("digest")).distinct()
-        once = batch.join(_few(written(bodies.select("digest").distinct(), "ed-known")), "digest", "left_anti").where("size = 1")
-        several = _few(written(several, "ed-several"))
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("body")).withColumn("digest", self.digest(F.col("body")))
-        # keep_row of a group is that of its digest, but where one digest has several texts
-        groups = texts.join(several, "digest", "left_semi").groupBy("digest", "body").agg(F.count("*").alias("size"), F.max("doc_id").alias("keep_id"))
-        groups = written(groups.join(batch.select("digest", "keep_row"), "digest"), "ed-groups")
-        columns = ["digest", "body", "texts", "size", "keep_id", "keep_row"]
-        same = ["digest", "body"]
-        new = groups.join(bodies, same, "left_anti").withColumn("texts", F.lit(1)).select(columns)
-        new = new.unionByName(once.select("digest", F.lit(None).cast("binary").alias("body"), F.lit(1).alias("texts"), "size", "keep_id", "keep_row"))
-        return new, groups.join(bodies, same, "left_semi").withColumn("texts", F.lit(0)).select(columns)
-
-    def add(self, docs: DataFrame, hashed: DataFrame | None = None) -> None:
-        """Adds a batch (doc_id, text, ...) as a further snapshot."""
-        new, again = self.match(docs, digests(docs, self.digest) if hashed is None else hashed)
-        path = f"{self.path}/snapshot-{len(self.snapshots()) + 1:08d}"
+        known, old = self.spark.createDataFrame([], "digest binary"), self.spark.createDataFrame([], "digest binary, body binary")
+        for path, buckets in self.snapshots():
+            accepted = _accepted(batch, self.spark.read.schema("bucket long, filter binary").parquet(f"{path}/filters"), buckets)
+            exact = self.spark.read.schema(f"{_GROUPS}, bucket long").parquet(f"{path}/groups").select("bucket", "digest")
+            met = written(exact.join(accepted, ["bucket", "digest"], "left_semi").select("digest"), "ed-met")
+            if not met.isEmpty():
+                known, old = known.unionByName(met), old.unionByName(self.bodies(self._documents(path), met))
+        several = written(batch.where("size > 1").select("digest").unionByName(known).distinct(), "ed-several")
+        fresh = self.bodies(docs, several).join(old, ["digest", "body"], "left_anti").groupBy("digest").agg(F.count("*").alias("fresh"))
+        compared = several.join(fresh, "digest", "left").select("digest", F.coalesce("fresh", F.lit(0)).alias("fresh"))
+        out = batch.join(compared, "digest", "left").withColumn("texts", F.coalesce("fresh", F.lit(1)).cast("long"))
+        return written(out.select("digest", "texts", "size", "keep_id", "keep_row"), "ed-groups")
+
+    def add(self, docs: DataFrame, hashed: DataFrame | None = None, copy: bool = True) -> None:
+        """Adds a batch (doc_id, text, ...) as a further snapshot.
+
+        Without copy the texts stay where they are: docs must not change, and only this Store can compare with them.
+        """
+        groups = self.match(docs, digests(docs, self.digest) if hashed is None else hashed)
+        name = f"snapshot-{len(self.snapshots()) + 1:08d}"
+        path, new = f"{self.path}/{name}", groups.where("texts > 0")
+        if copy:
+            docs.select(F.col("text").cast("string").alias("text")).write.mode("overwrite").parquet(f"{path}/documents")
+        else:
+            self._own[name] = docs
         buckets = max(1, -(-new.count() // BUCKET_ROWS))
-        again.drop("texts").write.mode("overwrite").parquet(f"{path}/again")
-        bucket = F.pmod(_key(), F.lit(buckets)).alias("bucket")
-        single = new.where("body is null").drop("body", "texts")
-        texts = docs.select(normalised(F.col("text")).alias("body")).withColumn("digest", self.digest(F.col("body")))
-        texts = texts.join(single, "digest").select("digest", "body", "size", "keep_id", "keep_row")
-        texts = texts.unionByName(new.where("body is not null").drop("texts")).select("*", bucket)
-        texts.repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/texts")
-        keyed = self.spark.read.schema(f"{_TEXTS}, bucket long").parquet(f"{path}/texts").select("bucket", _key().alias("key"))
+        groups.where("texts = 0").write.mode("overwrite").parquet(f"{path}/again")
+        new = new.withColumn("bucket", F.pmod(_key(), F.lit(buckets)))
+        new.repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/groups")
+        keyed = self.spark.read.schema(f"{_GROUPS}, bucket long").parquet(f"{path}/groups").select("bucket", _key().alias("key"))
         _filters(keyed).write.mode("overwrite").parquet(f"{path}/filters")
         self.spark.createDataFrame([(buckets,)], "buckets long").write.mode("overwrite").parquet(f"{path}/ready")
 
@@ -238,19 +243,17 @@ def exact_duplicates(docs: DataFrame, is_new: str | None = None, digest: Callabl
     with scratch():
         hashed = keep(digests(docs, digest, new.alias("new")))
         store = Store(spark, f"{shared_dir(spark)}/ed-store-{uuid.uuid4().hex}", digest)
-        store.add(docs.where(~new), hashed.where("not new"))
-        found, again = store.match(docs.where(new), hashed.where("new"))
-        every = store.known().unionByName(found).unionByName(again)
+        store.add(docs.where(~new), hashed.where("not new"), copy=False)
+        every = store.known().unionByName(store.match(docs.where(new), hashed.where("new")))
         merge = [F.sum("texts").alias("texts"), F.sum("size").alias("size"), F.max("keep_id").alias("keep_id"), F.coalesce(F.max_by("keep_row", "keep_id"), F.min("keep_row")).alias("keep_row")]
         total = keep(written(every.groupBy("digest").agg(*merge), "ed-total"))
         split = total.where("texts > 1").select("digest")
         apart = None
         if not split.isEmpty():  # one digest, several texts: their rows are told apart by the text
-            groups = every.join(split, "digest", "left_semi").groupBy("digest", "body").agg(F.sum("size").alias("size"), F.max("keep_id").alias("keep_id"))
             texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("body")).withColumn("digest", digest(F.col("body")))
             texts = written(texts.join(split, "digest", "left_semi").withColumn("row", F.monotonically_increasing_id()), "ed-split")
-            stays = texts.groupBy("digest", "body").agg(F.coalesce(F.max_by("row", "doc_id"), F.min("row")).alias("keep_row"))
-            apart = keep(written(texts.join(groups, ["digest", "body"]).join(stays, ["digest", "body"]).drop("body"), "ed-apart"))
+            groups = texts.groupBy("digest", "body").agg(F.count("*").alias("size"), F.max("doc_id").alias("keep_id"), F.coalesce(F.max_by("row", "doc_id"), F.min("row")).alias("keep_row"))
+            apart = keep(written(texts.join(groups, ["digest", "body"]).drop("body"), "ed-apart"))
         delete(spark, store.path)
     columns = ["doc_id", "digest", "row", "size", "keep_id", "keep_row"]
     rows = spread_join(hashed.select("doc_id", "digest", "row"), total.where("texts = 1").withColumn("use", F.col("size")), "digest", "inner").select(columns)

@@ -87,7 +87,8 @@ def test_a_store_of_three_batches(spark, tmp_path, digest):
     want = defaultdict(list)
     for i, t in rows:
         want[norm(t)].append(i)
-    texts = {norm(t): t for _, t in rows}
-    known = store.known().groupBy("digest", "body").agg(F.sum("texts").alias("texts"), F.sum("size").alias("size"), F.max("keep_id").alias("keep_id")).collect()
-    assert {bytes(r.body): (r.texts, r.size, r.keep_id) for r in known} == {t: (1, len(ids), max(ids)) for t, ids in want.items()}
-    assert len(known) == len(texts)
+    texts = defaultdict(list)
+    for t, ids in want.items():
+        texts[hashlib.sha256(t).digest() if digest is sha256 else bytes([int(hashlib.sha256(t).hexdigest()[0], 16)])].append(ids)
+    known = store.known().groupBy("digest").agg(F.sum("texts").alias("texts"), F.sum("size").alias("size"), F.max("keep_id").alias("keep_id")).collect()
+    assert {bytes(r.digest): (r.texts, r.size, r.keep_id) for r in known} == {d: (len(g), sum(map(len, g)), max(map(max, g))) for d, g in texts.items()}
