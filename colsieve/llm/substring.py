@@ -7,13 +7,15 @@ another document is an anchor. From its anchors a document's repeats are extende
 anchor is looked up among the windows of all documents that hold one, a window also found in a smaller doc_id is
 removed, and the union of such overlapping windows is the maximal repeat.
 
-Scale. The index and the probes are dealt by hash into buckets of a fixed amount of text, packed as a few binary arrays
-for each bucket and slice of documents, so the shuffle takes about 4 bytes a word and not a row a word. A run that
-repeats within one document is sent once. A passage shared by many documents costs one small entry for each of them
-in each bucket, never a pair of documents, and its runs lie in many buckets. Texts move only for documents that
-have anchors; their ids are broadcast to keep the others out of the shuffle while there are at most
-``MOST_BROADCAST``, beyond that the join is shuffled. Windows are compared by 64-bit hashes that depend on every word: two
-different windows agree with probability 2^-64.
+Scale. Documents are handled in slices of a few megabytes of text. A slice sends one entry for each distinct run, with the
+note whether several of its texts have it, and one for each distinct window, with the least doc_id that has it; so a passage
+shared by very many documents costs an entry for each slice, not for each document, and answers go back to slices. Entries
+are dealt by hash into buckets of a fixed amount of text and packed as a few binary arrays for each bucket and slice, so the
+shuffle takes about 5 bytes a word and not a row a word. The packing wears off as slices times buckets near the
+number of words: at 1 TB a packed row still has some 40 entries, at 100 TB about one, unless ``BUCKET_BYTES`` grows with the
+executors' memory. Texts move only for documents that have anchors; their keys are broadcast to keep the others out of the
+shuffle while there are at most ``MOST_BROADCAST`` (about 100 bytes each), beyond that the join is shuffled. Windows are compared by
+64-bit hashes that depend on every word: two different windows agree with probability 2^-64.
 """
 
 from __future__ import annotations
@@ -28,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .text import joined_buffer, mixed, rolling, slices, word_hashes, words
+from .common import keep, scratch, written
+from .text import joined_buffer, rolling, slices, word_hashes, words
 
 WINDOW, BLOCK = 50, 25
-BUCKET_BYTES = 4 << 20
-MOST_BROADCAST = 2_000_000
+#: Text for each bucket: the least, and the most once there would be more than MANY_BUCKETS.
+BUCKET_BYTES, MANY_BUCKETS = (4 << 20, 64 << 20), 16384
+MOST_BROADCAST = 200_000
+KEY = 16
 _LOW = np.uint64(0xFFFFFFFF)
 _PACKED = "bucket long, slice long, a binary, b binary, c binary"
 
@@ -61,34 +65,73 @@ def runs(bound: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray]
     return np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count) + bound[:-1][text], text
 
 
+def _cuts(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin in arrays that are sorted together, and the end."""
+    n = len(sorted_by[0])
+    new = np.zeros(n, bool)
+    for x in sorted_by:
+        new[1:] |= x[1:] != x[:-1]
+    new[:1] = True
+    return np.append(np.flatnonzero(new), n)
+
+
+def _bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
+
+
+def _flags(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "slice", "a", "b", "c"])
+
+
+def _name(*content: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"".join(content), digest_size=8).digest(), "little", signed=True)
+
+
+def _ids(batch: pa.RecordBatch) -> tuple[bytes, bytes]:
+    """The doc_ids of a slice and whether they are there, and its text keys (null: zeros)."""
+    ids = np.asarray(batch.column("doc_id").fill_null(0), np.int64).tobytes() + np.asarray(batch.column("doc_id").is_valid()).tobytes()
+    return ids, b"".join(k or bytes(KEY) for k in batch.column("text_key").to_pylist())
+
+
 def _probes(buckets: int, window: int, block: int):
-    """Slices of documents to packed entries: header rows (bucket < 0) and, for each bucket, hashes and texts."""
+    """Slices of documents to packed entries: a header (bucket < 0) and, for each bucket, the slice's distinct runs.
+
+    An entry is a run's hash, a text that has it, whether it is a block, and whether several texts have it; for these the header lists all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 buf, at = joined_buffer(batch.column("text"))
                 starts, ends, bound = words(buf, at)
-                ids = np.asarray(batch.column("doc_id").cast(pa.int64()).fill_null(0), np.int64)
-                has_id = np.asarray(batch.column("doc_id").is_valid())
-                raw = buf.tobytes()
-                shas = b"".join(hashlib.sha256(b" ".join(raw[at[i] : at[i + 1]].split())).digest() for i in range(len(ids)))
-                name = int.from_bytes(hashlib.blake2b(ids.tobytes() + has_id.tobytes() + shas, digest_size=8).digest(), "little", signed=True)
-                out = [(-1 - name % buckets, name, ids.tobytes() + has_id.tobytes(), np.diff(bound).astype(np.int64).tobytes(), shas)]
+                raw, (ids, keys) = buf.tobytes(), _ids(batch)
+                shas = b"".join(hashlib.sha256(b" ".join(raw[at[i] : at[i + 1]].split())).digest() for i in range(len(batch)))
+                name, entries, shared = _name(ids, keys, shas), [], (b"", b"")
                 pos, text = runs(bound, block, window)
                 if len(pos):
                     h = rolling(word_hashes(buf, starts, ends, False), block)[pos]
                     order = np.argsort(h, kind="stable")
                     h, text, aligned = h[order], text[order], ((pos - bound[:-1][text]) % block == 0)[order]
-                    first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (text[1:] != text[:-1]))))
+                    each = _cuts(h, text)[:-1]
+                    h, text, aligned = h[each], text[each], np.logical_or.reduceat(aligned, each)
+                    first = _cuts(h)
+                    several = np.diff(first) > 1
+                    of_several = np.repeat(several, np.diff(first))
+                    shared = (h[of_several] & _LOW).astype("<u4").tobytes(), text[of_several].astype("<u4").tobytes()
+                    first = first[:-1]
                     h, text, aligned = h[first], text[first], np.logical_or.reduceat(aligned, first)
                     of = bucket_of(h, buckets)
-                    cut = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))
-                    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                        out.append((int(of[i]), name, planes((h[i:j] & _LOW).astype("<u4")), planes(text[i:j].astype("<u4")), np.packbits(aligned[i:j]).tobytes()))
-                cols = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "slice", "a", "b", "c"])
+                    cut = _cuts(of).tolist()
+                    for i, j in zip(cut[:-1], cut[1:], strict=True):
+                        entries.append((int(of[i]), name, planes((h[i:j] & _LOW).astype("<u4")), planes(text[i:j].astype("<u4")), _bits(np.concatenate([aligned[i:j], several[i:j]]))))
+                sizes = np.diff(bound).astype("<i8").tobytes()
+                head = (-1 - name % buckets, name, ids + sizes + keys + shas, shared[0], shared[1])
+                yield _batch([head, *entries])
 
     return run
 
@@ -99,11 +142,14 @@ def _match(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf[["slice", "a", "b", "c"]]
     prints = [unplanes(x, "<u4") for x in pdf["a"]]
     count = [len(x) for x in prints]
-    aligned = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(pdf["c"], count, strict=True)])
+    flags = [_flags(x, 2 * n) for x, n in zip(pdf["c"], count, strict=True)]
+    aligned, several = (np.concatenate([f[k * n : k * n + n] for f, n in zip(flags, count, strict=True)]) for k in (0, 1))
     value, which, times = np.unique(np.concatenate(prints), return_inverse=True, return_counts=True)
     is_block = np.zeros(len(value), bool)
-    is_block[which[aligned > 0]] = True
-    hit = np.split((is_block & (times > 1))[which], np.cumsum(count)[:-1])
+    is_block[which[aligned]] = True
+    many = times > 1
+    many[which[several]] = True
+    hit = np.split((is_block & many)[which], np.cumsum(count)[:-1])
     rows = [(s, planes(p[k]), planes(unplanes(b, "<u4")[k]), None) for s, p, b, k in zip(pdf["slice"], prints, pdf["b"], hit, strict=True) if k.any()]
     return pd.DataFrame(rows, columns=["slice", "a", "b", "c"])
 
@@ -114,25 +160,31 @@ def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
     Slices of equal content share one name, and have equal results: copies is how many there are.
     """
     heads = pdf[pdf["c"].notna()]
-    head = heads.iloc[0]
-    size, sha = np.frombuffer(head["b"], np.int64), head["c"]
-    ids, has_id = np.frombuffer(head["a"][: 8 * len(size)], np.int64), np.frombuffer(head["a"][8 * len(size) :], bool)
-    found = pdf[pdf["c"].isna()]
-    anchors: list = [None] * len(ids)
+    head, found = heads.iloc[0], pdf[pdf["c"].isna()]
+    n = len(head["a"]) // (8 + 1 + 8 + KEY + 32)
+    ids, has_id, size = np.frombuffer(head["a"], "<i8", n), np.frombuffer(head["a"], bool, n, 8 * n), np.frombuffer(head["a"], "<i8", n, 9 * n)
+    keys, shas = head["a"][17 * n : (17 + KEY) * n], head["a"][(17 + KEY) * n :]
+    anchors: list = [None] * n
     if len(found):
-        text = np.concatenate([unplanes(x, "<u4") for x in found["b"]])
-        prints = np.concatenate([unplanes(x, "<u4") for x in found["a"]])
+        prints, text = (np.concatenate([unplanes(x, "<u4") for x in found[c]]) for c in ("a", "b"))
+        shared, of = np.frombuffer(head["b"], "<u4"), np.frombuffer(head["c"], "<u4")
+        also = np.isin(shared, prints)
+        prints, text = np.concatenate([prints, shared[also]]), np.concatenate([text, of[also]])
         order = np.argsort(text, kind="stable")
         text, prints = text[order], prints[order]
-        cut = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1], [True])))
+        cut = _cuts(text)
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             anchors[text[i]] = planes(np.unique(prints[i:j]))
     doc_id = pd.arrays.IntegerArray(ids.copy(), ~has_id)
-    return pd.DataFrame({"doc_id": doc_id, "n_words": size, "full_sha": [sha[32 * i : 32 * i + 32] for i in range(len(ids))], "anchors": anchors, "copies": len(heads)})
+    pick = lambda x, width: [x[width * i : width * i + width] for i in range(n)]
+    return pd.DataFrame({"doc_id": doc_id, "text_key": pick(keys, KEY), "n_words": size, "full_sha": pick(shas, 32), "anchors": anchors, "copies": len(heads)})
 
 
 def _windows(buckets: int, window: int, block: int):
-    """Documents with anchors to packed entries of every window that holds one."""
+    """Documents with anchors to packed entries: a header with the slice's texts, and its distinct windows that hold an anchor.
+
+    An entry is a window's hash, the least doc_id that has it, and whether other doc_ids of the slice do.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -140,7 +192,7 @@ def _windows(buckets: int, window: int, block: int):
                 buf, at = joined_buffer(batch.column("text"))
                 starts, ends, bound = words(buf, at)
                 hashes = word_hashes(buf, starts, ends, False)
-                ids, some = batch.column("doc_id").to_numpy(zero_copy_only=False), []
+                ids, some = np.asarray(batch.column("doc_id"), np.int64), []
                 for i, anchors in enumerate(batch.column("anchors").to_pylist()):
                     h = hashes[bound[i] : bound[i + 1]]
                     if len(h) >= window:
@@ -152,75 +204,74 @@ def _windows(buckets: int, window: int, block: int):
                 if not some:
                     continue
                 w, doc = (np.concatenate(x) for x in zip(*some, strict=True))
-                order = np.argsort(w, kind="stable")
+                if not len(w):
+                    continue
+                order = np.lexsort((doc, w))
                 w, doc = w[order], doc[order]
+                first = _cuts(w)
+                several = doc[first[1:] - 1] != doc[first[:-1]]
+                w, doc = w[first[:-1]], doc[first[:-1]]
+                packed, keys = _ids(batch)
+                name = _name(packed, keys)
                 of = bucket_of(w, buckets)
-                cut = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True]))) if len(w) else np.zeros(1, int)
-                out = [(int(of[i]), planes(w[i:j]), planes(doc[i:j])) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-                if out:
-                    cols = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["bucket", "a", "b"])
+                cut = _cuts(of).tolist()
+                entries = [(int(of[i]), name, planes(w[i:j]), planes(doc[i:j]), _bits(several[i:j])) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                yield _batch([(-1 - name % buckets, name, buf.tobytes(), at.astype("<i8").tobytes(), ids.tobytes() + keys), *entries])
 
     return run
 
 
-def _repeated(buckets: int):
-    """A bucket's windows to those that a smaller doc_id has too, packed by bucket of the document."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = np.concatenate([unplanes(x, "<u8") for x in pdf["a"]])
-        doc = np.concatenate([unplanes(x, "<i8") for x in pdf["b"]])
-        order = np.lexsort((doc, w))
-        w, doc = w[order], doc[order]
-        first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-        least = np.repeat(doc[first], np.diff(np.append(first, len(w))))
-        w, doc = w[doc > least], doc[doc > least]
-        of = bucket_of(mixed(doc.view(np.uint64)), buckets)
-        order = np.lexsort((doc, of))
-        w, doc, of = w[order], doc[order], of[order]
-        cut = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True]))) if len(of) else np.zeros(1, int)
-        parts = list(zip(cut[:-1], cut[1:], strict=True))
-        return pd.DataFrame({"of": of[cut[:-1]], "a": [planes(w[i:j]) for i, j in parts], "b": [planes(doc[i:j]) for i, j in parts]})
-
-    return run, "of long, a binary, b binary"
-
-
-def _gathered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The repeated windows of a bucket of documents, one row for each document."""
-    w = np.concatenate([unplanes(x, "<u8") for x in pdf["a"]])
+def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's windows back to the slices where some doc_id has a smaller one before it, with the least doc_id of all."""
+    if pdf["bucket"].iloc[0] < 0:
+        return pdf[["slice", "a", "b", "c"]]
+    parts = [unplanes(x, "<u8") for x in pdf["a"]]
+    count = [len(x) for x in parts]
     doc = np.concatenate([unplanes(x, "<i8") for x in pdf["b"]])
-    order = np.argsort(doc, kind="stable")
-    w, doc = w[order], doc[order]
-    cut = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1], [True])))
-    return pd.DataFrame({"doc_id": doc[cut[:-1]], "found": [planes(w[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]})
+    several = np.concatenate([_flags(x, n) for x, n in zip(pdf["c"], count, strict=True)])
+    value, which = np.unique(np.concatenate(parts), return_inverse=True)
+    least = np.full(len(value), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, doc)
+    least = least[which]
+    hit, at = (doc > least) | several, np.cumsum(count)[:-1]
+    rows = [(s, planes(w[k]), planes(m[k]), None) for s, w, m, k in zip(pdf["slice"], parts, np.split(least, at), np.split(hit, at), strict=True) if k.any()]
+    return pd.DataFrame(rows, columns=["slice", "a", "b", "c"])
 
 
 def _removed(window: int, with_text: bool):
-    """(doc_id, text, found) to what is left: number of words removed, digest of the words kept, and the words."""
+    """A slice's texts and repeated windows to what is left: words removed, digest of the words kept, and the words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                buf, at = joined_buffer(batch.column("text"))
-                starts, ends, bound = words(buf, at)
-                hashes, raw = word_hashes(buf, starts, ends, False), buf.tobytes()
-                gone, shas, texts = [], [], []
-                for i, found in enumerate(batch.column("found").to_pylist()):
-                    h = hashes[bound[i] : bound[i + 1]]
-                    change = np.zeros(len(h) + 1, np.int64)
-                    if len(h) >= window:
-                        hit = np.flatnonzero(np.isin(rolling(h, window), unplanes(found, "<u8")))
-                        change[hit] += 1
-                        np.subtract.at(change, hit + window, 1)
-                    keep = np.cumsum(change[:-1]) == 0
-                    kept = b" ".join(compress(raw[at[i] : at[i + 1]].split(), keep.tolist()))
-                    gone.append(int(len(h) - keep.sum()))
-                    shas.append(hashlib.sha256(kept).digest())
-                    texts.append(kept.decode())
-                cols = [batch.column("doc_id").cast(pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(texts, pa.string())] * with_text, names=["doc_id", "n_removed", "kept_sha"] + ["kept_text"] * with_text)
-
-    return run, "doc_id long, n_removed long, kept_sha binary" + ", kept_text string" * with_text
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = pdf[pdf["c"].isna()]
+        columns = ["doc_id", "text_key", "n_removed", "kept_sha"] + ["kept_text"] * with_text
+        if not len(found):
+            return pd.DataFrame([], columns=columns)
+        head = pdf[pdf["c"].notna()].iloc[0]
+        raw, at = head["a"], np.frombuffer(head["b"], "<i8")
+        n = len(at) - 1
+        ids, keys = np.frombuffer(head["c"], "<i8", n), head["c"][8 * n :]
+        w, least = np.concatenate([unplanes(x, "<u8") for x in found["a"]]), np.concatenate([unplanes(x, "<i8") for x in found["b"]])
+        order = np.argsort(w)
+        w, least = w[order], least[order]
+        buf = np.frombuffer(raw, np.uint8)
+        starts, ends, bound = words(buf, at)
+        hashes, rows = word_hashes(buf, starts, ends, False), []
+        for i in range(n):
+            h = hashes[bound[i] : bound[i + 1]]
+            own = rolling(h, window)
+            place = np.minimum(np.searchsorted(w, own), len(w) - 1)
+            hit = np.flatnonzero((w[place] == own) & (least[place] < ids[i]))
+            if not len(hit):
+                continue
+            change = np.zeros(len(h) + 1, np.int64)
+            change[hit] += 1
+            np.subtract.at(change, hit + window, 1)
+            left = np.cumsum(change[:-1]) == 0
+            kept = b" ".join(compress(raw[at[i] : at[i + 1]].split(), left.tolist()))
+            rows.append((ids[i], keys[KEY * i : KEY * i + KEY], int(len(h) - left.sum()), hashlib.sha256(kept).digest(), kept.decode())[: len(columns)])
+        return pd.DataFrame(rows, columns=columns)
+
+    return run, "doc_id long, text_key binary, n_removed long, kept_sha binary" + ", kept_text string" * with_text
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, with_text: bool = False) -> DataFrame:
@@ -228,32 +279,30 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, wi
 
     Words are split at ASCII white space and compared as they are. A word is removed if it lies in a window of
     ``window`` words that also starts in a document with a smaller doc_id; all windows are judged on the input. kept_sha256 is of the kept
-    words joined by one space; null and empty texts have no words. Rows that repeat a doc_id are one document as far as "smaller" goes,
-    and all get the same answer where their texts are equal. A null doc_id keeps all its words. kept_text is given
-    only for documents that lose words, null for the others. Columns other than doc_id and text are not read.
+    words joined by one space; null and empty texts have no words. Rows that repeat a doc_id are one document as far as "smaller"
+    goes, so they take nothing from each other; each gets the answer for its own text, whether the texts are equal or not. A null
+    doc_id keeps all its words. kept_text is given only for documents that lose words, null for the others. Columns other than doc_id
+    and text are not read.
     """
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block: window >= 2 * block - 1")
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    buckets = max(8, -(-total // BUCKET_BYTES))
-    packed = texts.mapInArrow(_probes(buckets, window, block), _PACKED)
-    matched = packed.groupBy("bucket").applyInPandas(_match, "slice long, a binary, b binary, c binary")
-    own = matched.groupBy("slice").applyInPandas(_by_document, "doc_id long, n_words long, full_sha binary, anchors binary, copies int")
-    own = written(own.select("doc_id", "n_words", "full_sha", "anchors", F.explode(F.sequence(F.lit(1), "copies"))).drop("col"), "ss-documents")
-
-    with_anchors = own.where("anchors is not null and doc_id is not null")
-    ids = with_anchors.select("doc_id").distinct()
-    some = texts.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= MOST_BROADCAST else texts
-    entries = with_anchors.dropDuplicates(["doc_id"]).select("doc_id", "anchors").join(some, "doc_id").mapInArrow(_windows(buckets, window, block), "bucket long, a binary, b binary")
-    found = entries.groupBy("bucket").applyInPandas(*_repeated(buckets))
-    found = written(found.groupBy("of").applyInPandas(_gathered, "doc_id long, found binary"), "ss-found")
-
-    ids = found.select("doc_id")
-    some = texts.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= MOST_BROADCAST else texts
-    cut = some.join(found, "doc_id").mapInArrow(*_removed(window, with_text))
-    cut = written(cut.dropDuplicates(["doc_id"]), "ss-cut")
-    out = own.drop("anchors").join(cut, "doc_id", "left")
+    buckets = max(8, -(-total // min(BUCKET_BYTES[1], max(BUCKET_BYTES[0], total // MANY_BUCKETS))))
+    with scratch():
+        packed = texts.mapInArrow(_probes(buckets, window, block), _PACKED)
+        matched = packed.groupBy("bucket").applyInPandas(_match, "slice long, a binary, b binary, c binary")
+        own = matched.groupBy("slice").applyInPandas(_by_document, "doc_id long, text_key binary, n_words long, full_sha binary, anchors binary, copies int")
+        own = own.select("doc_id", "text_key", "n_words", "full_sha", "anchors", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
+        own = keep(written(own, "ss-documents"))
+
+        same = ["doc_id", "text_key"]
+        with_anchors = own.where("anchors is not null and doc_id is not null").select(*same, "anchors").dropDuplicates(same)
+        ids = written(with_anchors.select(same), "ss-with-anchors")
+        some = texts.join(F.broadcast(ids), same, "left_semi") if ids.count() <= MOST_BROADCAST else texts
+        entries = with_anchors.join(some.dropDuplicates(same), same).mapInArrow(_windows(buckets, window, block), _PACKED)
+        found = entries.groupBy("bucket").applyInPandas(_repeated, "slice long, a binary, b binary, c binary")
+        cut = keep(written(found.groupBy("slice").applyInPandas(*_removed(window, with_text)), "ss-cut"))
+    out = own.drop("anchors").join(cut, same, "left")
     sha = F.lower(F.hex(F.coalesce("kept_sha", "full_sha"))).alias("kept_sha256")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), sha, *["kept_text"] * with_text)
