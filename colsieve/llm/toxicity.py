@@ -2,20 +2,20 @@
 
 Method. Features are the distinct lower-cased words of a text and their prefixes of 3 to 6 letters; of those in at
 least ``LEAST_ROWS`` toxic rows of the training sample the ones most strongly associated with the label are kept by name,
-so no two features collide. One
+so no two features collide; more than ``MOST_FEATURES`` of them lower the recall on held-out rows (README). One
 weight vector serves all thresholds: P(grade <= k) = sigmoid(threshold_k - weights . features), with ordered
 thresholds. The score is the expected grade. Labels say toxic or not; training grades of toxic rows grow with the
 number of distinct words that hold a strongly toxic feature (1, up to 3, more), clean rows have grade 0.
 
-Scale. The model is fitted on the driver on at most ``sample_rows`` labelled rows, chosen by a hash of doc_id, so that
-it costs the same at any input; it has at most ``MOST_FEATURES`` weights. Scoring is one pass without a shuffle over
-whole texts.
+Scale. The model is fitted on at most ``sample_rows`` labelled documents, chosen by a hash of doc_id, so that it costs
+the same at any input; it has at most ``MOST_FEATURES`` weights. Features of the sample's whole texts are counted by tasks;
+the driver gets the chosen features and, for each document, which of them it has, never a text. Scoring is one pass without
+a shuffle over whole texts.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import scratch, written
 from .text import slices
 
-SAMPLE_ROWS = 5000
-MOST_FEATURES, LEAST_ROWS, MOST_WORDS = 4096, 3, 150_000
+SAMPLE_ROWS = 6000
+MOST_FEATURES, LEAST_ROWS, MOST_WORDS = 2048, 3, 150_000
 GRADES, REJECT = 4, 0.3
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -37,10 +38,9 @@ def word_features(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in range(3, 7) if len(word) >= n)]
 
 
-def text_features(text: str | None, known=None) -> set[str]:
-    """The distinct features of a text, or those among the known ones."""
-    words = set(_words((text or "").lower()))
-    return {f for w in words for f in word_features(w) if known is None or f in known}
+def text_features(text: str | None) -> set[str]:
+    """The distinct features of a text."""
+    return {f for w in set(_words((text or "").lower())) for f in word_features(w)}
 
 
 @dataclass
@@ -71,56 +71,80 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - z, -50, 50)))
 
 
-def fit(rows: list[tuple[str | None, int]], rounds: int = 400, rate: float = 0.05, l2: float = 1e-4) -> Model:
-    """Fits on (text, toxic) rows by full-batch Adam; without both classes the model scores 0 everywhere."""
-    toxic = np.array([int(y or 0) for _, y in rows])
-    nt, nc = int(toxic.sum()), int(len(toxic) - toxic.sum())
-    if not nt or not nc:
-        return Model({}, np.zeros(0), np.full(GRADES - 1, 50.0))
-    # only features of several toxic rows can speak for toxicity; the others aren't even counted in clean rows
-    in_toxic = Counter(f for t, y in rows if y for f in text_features(t))
-    in_toxic = {f: n for f, n in in_toxic.items() if n >= LEAST_ROWS}
-    in_clean = Counter(f for t, y in rows if not y for f in text_features(t, in_toxic))
-    names = sorted(in_toxic)
-    a, c = np.array([in_toxic[f] for f in names]) + 0.5, np.array([in_clean[f] for f in names]) + 0.5
-    odds = np.log(a / (nt - a + 1)) - np.log(c / (nc - c + 1))
-    strength = odds / np.sqrt(1 / a + 1 / c)
-    order = sorted(range(len(names)), key=lambda i: (-abs(strength[i]), names[i]))[:MOST_FEATURES]
-    index = {names[i]: k for k, i in enumerate(order)}
-    strong = {names[i] for i in order if strength[i] > 4 and odds[i] > 3}
-    marked = np.array([len({f.rstrip("*")[:3] for f in text_features(t, strong)}) for t, _ in rows])
-    grade = np.where(toxic == 0, 0, np.where(marked <= 1, 1, np.where(marked <= 3, 2, 3)))
+def loss_and_gradient(params: np.ndarray, col: np.ndarray, row: np.ndarray, grade: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood of the grades plus the penalty, and its gradient.
 
-    cols = [np.fromiter((index[f] for f in text_features(t, index)), np.int64) for t, _ in rows]
-    col, row = np.concatenate(cols), np.repeat(np.arange(len(rows)), [len(x) for x in cols])
-    # thresholds are the first one and positive steps, so they stay ordered
-    params = np.concatenate([np.zeros(len(index)), [2.0], np.zeros(GRADES - 2)])
+    params: the weights, the first threshold and the logarithms of the steps to the others, so that they stay ordered.
+    (row, col): the features that each row has.
+    """
+    n, k = len(grade), len(params) - (GRADES - 1)
+    w, steps = params[:k], np.exp(params[k + 1 :])
+    theta = np.concatenate([[params[k]], params[k] + np.cumsum(steps)])
+    z = np.bincount(row, w[col], n)
+    cdf = np.concatenate([np.zeros((n, 1)), 1 / (1 + np.exp(-np.clip(theta - z[:, None], -50, 50))), np.ones((n, 1))], axis=1)
+    slope, rows = cdf * (1 - cdf), np.arange(n)
+    p = np.maximum(cdf[rows, grade + 1] - cdf[rows, grade], 1e-12)
+    up, down = slope[rows, grade + 1] / p, slope[rows, grade] / p
+    dtheta = np.array([(-up[grade == j].sum() + down[grade == j + 1].sum()) for j in range(GRADES - 1)]) / n
+    gradient = np.concatenate([np.bincount(col, (up - down)[row], k) / n + l2 * w, [dtheta.sum()], [dtheta[j + 1 :].sum() * steps[j] for j in range(GRADES - 2)]])
+    return float(-np.log(p).mean() + l2 / 2 * (w * w).sum()), gradient
+
+
+def train(col: np.ndarray, row: np.ndarray, grade: np.ndarray, features: int, rounds: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by full-batch Adam."""
+    params = np.concatenate([np.zeros(features), [2.0], np.zeros(GRADES - 2)])
     m, v = np.zeros_like(params), np.zeros_like(params)
-    n, k = len(rows), len(index)
     for step in range(1, rounds + 1):
-        w, steps = params[:k], np.exp(params[k + 1 :])
-        theta = np.concatenate([[params[k]], params[k] + np.cumsum(steps)])
-        z = np.bincount(row, w[col], n)
-        cdf = np.concatenate([np.zeros((n, 1)), 1 / (1 + np.exp(-np.clip(theta - z[:, None], -50, 50))), np.ones((n, 1))], axis=1)
-        slope = cdf * (1 - cdf)
-        p = np.maximum(cdf[np.arange(n), grade + 1] - cdf[np.arange(n), grade], 1e-12)
-        up, down = slope[np.arange(n), grade + 1] / p, slope[np.arange(n), grade] / p
-        dz = up - down  # of the negative log-likelihood
-        dtheta = np.array([(-up[grade == j].sum() + down[grade == j + 1].sum()) for j in range(GRADES - 1)]) / n
-        grad = np.concatenate([np.bincount(col, dz[row], k) / n + l2 * w, [dtheta.sum()], [dtheta[j + 1 :].sum() * steps[j] for j in range(GRADES - 2)]])
+        _, grad = loss_and_gradient(params, col, row, grade, l2)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         params = params - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    theta = np.concatenate([[params[k]], params[k] + np.cumsum(np.exp(params[k + 1 :]))])
-    return Model(index, params[:k], theta)
+    return params[:features], np.concatenate([[params[features]], params[features] + np.cumsum(np.exp(params[features + 1 :]))])
+
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """(text, toxic) of at most ``rows`` labelled documents, the first by a hash of doc_id; toxic null is left out.
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> list[tuple[str | None, int]]:
-    """At most ``rows`` labelled rows (text, toxic), the first by a hash of doc_id; toxic null is left out."""
+    A doc_id that repeats in labels counts as toxic if any of its rows is; one that repeats in docs gives its last text.
+    """
     order = F.xxhash64(F.col("doc_id").cast("long"), F.lit(5))
     some = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     some = some.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(order, "doc_id").limit(rows)  # bounded, so it is broadcast
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").collect()
-    return [(r["text"], r["toxic"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["text"] or ""))][: 2 * rows]
+    rows_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
+    return rows_of.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+
+
+def fit(sample: DataFrame, **training) -> Model:
+    """Fits on (text, toxic), as many rows as ``labelled_sample`` gives; without both classes the model scores 0 everywhere."""
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found = [sorted(text_features(t)) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], names=["row", "toxic", "features"])
+
+    with scratch():
+        numbered = written(sample.withColumn("row", F.monotonically_increasing_id()), "tx-sample")
+        n = numbered.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
+        nt, nc = n["toxic"] or 0, n["n"] - (n["toxic"] or 0)
+        if not nt or not nc:
+            return Model({}, np.zeros(0), np.full(GRADES - 1, 50.0))
+        rows = written(numbered.select("row", "toxic", "text").mapInArrow(features, "row long, toxic int, features array<string>"), "tx-features")
+        counts = rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("c"))
+        a, c = F.col("a") + 0.5, F.col("c") + 0.5
+        odds = F.log(a / (nt - a + 1)) - F.log(c / (nc - c + 1))
+        counts = counts.where(f"a >= {LEAST_ROWS}").select("feature", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / c)).alias("strength"))
+        best = counts.orderBy(F.desc(F.abs("strength")), "feature").limit(MOST_FEATURES).collect()
+        index = {r["feature"]: i for i, r in enumerate(best)}
+        chosen = numbered.sparkSession.createDataFrame(list(index.items()) or [("", -1)], "feature string, i int")
+        has = rows.select("row", F.explode("features").alias("feature")).join(F.broadcast(chosen), "feature").groupBy("row").agg(F.sort_array(F.collect_list("i")).alias("ids"))
+        got = rows.select("row", "toxic").join(has, "row", "left").orderBy("row").collect()  # at most MOST_FEATURES numbers a row
+    strong = {i: r["feature"].rstrip("*")[:3] for i, r in enumerate(best) if r["strength"] > 4 and r["odds"] > 3}
+    toxic = np.array([r["toxic"] for r in got])
+    marked = np.array([len({strong[i] for i in r["ids"] or () if i in strong}) for r in got])
+    grade = np.where(toxic == 0, 0, np.where(marked <= 1, 1, np.where(marked <= 3, 2, 3)))
+    col = np.array([i for r in got for i in r["ids"] or ()], np.int64)
+    row = np.repeat(np.arange(len(got)), [len(r["ids"] or ()) for r in got])
+    return Model(index, *train(col, row, grade, len(index), **training))
 
 
 def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -153,7 +177,7 @@ def clean(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 20):
                 toxic = [bool(t and t.strip()) and own.score(t)[0] >= REJECT for t in batch.column("text").to_pylist()]
                 yield batch.filter(pa.array([not x for x in toxic], pa.bool_()))
 

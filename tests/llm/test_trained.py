@@ -1,5 +1,6 @@
 """Operators that learn: toxicity, language and urls."""
 
+import math
 import random
 import zlib
 from urllib.parse import urlsplit
@@ -42,13 +43,68 @@ def test_toxicity(spark, odd, none):
     assert not any(r.toxic for r in toxicity.score(docs, labels.limit(0)).collect())
 
 
-def test_ordered_thresholds_and_one_weight_vector():
-    model = toxicity.fit([(r[1], r[3]) for r in toy()])
+def test_ordered_thresholds_and_one_weight_vector(spark):
+    model = toxicity.fit(spark.createDataFrame([(r[1], r[3]) for r in toy()], "text string, toxic int"))
     assert (np.diff(model.thresholds) > 0).all() and model.weights.ndim == 1
     mild, bad = model.score("grubbish"), model.score("grubbish snarlfoo vileyaka vileyakb")
     assert (np.diff(bad) <= 0).all() and bad.sum() > mild.sum()
 
 
+def test_ordinal_loss():
+    """The loss against a plain loop over rows and grades, its gradient against finite differences."""
+    rng = np.random.default_rng(1)
+    n, k = 40, 6
+    has = rng.random((n, k)) < 0.4
+    row, col = np.nonzero(has)
+    grade, params = rng.integers(0, toxicity.GRADES, n), rng.normal(size=k + toxicity.GRADES - 1)
+    loss, grad = toxicity.loss_and_gradient(params, col, row, grade, 0.01)
+
+    theta = [params[k]]
+    for s in params[k + 1 :]:
+        theta.append(theta[-1] + math.exp(s))
+    at_most = lambda j, z: 0.0 if j < 0 else 1.0 if j == len(theta) else 1 / (1 + math.exp(-(theta[j] - z)))
+    zs = [sum(params[f] for f in range(k) if has[i, f]) for i in range(n)]
+    want = -sum(math.log(at_most(g, z) - at_most(g - 1, z)) for g, z in zip(grade, zs, strict=True)) / n + 0.005 * sum(p * p for p in params[:k])
+    assert loss == pytest.approx(want)
+    for i in range(len(params)):
+        step = np.zeros(len(params))
+        step[i] = 1e-6
+        up, down = (toxicity.loss_and_gradient(params + s, col, row, grade, 0.01)[0] for s in (step, -step))
+        assert grad[i] == pytest.approx((up - down) / 2e-6, rel=1e-4, abs=1e-8)
+
+
+def test_scores_against_a_plain_loop(spark):
+    """Chosen features, sums of weights and expected grades, computed again in plain Python."""
+    rows = toy(300)
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(toxicity.labelled_sample(docs, labels, 1000), rounds=50)
+    seen = [{f for w in r[1].split() for f in [w, *(w[:n] + "*" for n in (3, 4, 5, 6) if len(w) >= n)]} for r in rows]
+    nt, counts = sum(r[3] for r in rows), {}
+    for s, r in zip(seen, rows, strict=True):
+        for f in s:
+            counts.setdefault(f, [0, 0])[1 - r[3]] += 1
+    nc, strength = len(rows) - nt, {}
+    for f, (a, c) in counts.items():
+        if a >= toxicity.LEAST_ROWS:
+            a, c = a + 0.5, c + 0.5
+            strength[f] = (math.log(a / (nt - a + 1)) - math.log(c / (nc - c + 1))) / math.sqrt(1 / a + 1 / c)
+    assert set(model.index) == set(sorted(strength, key=lambda f: (-abs(strength[f]), f))[: toxicity.MOST_FEATURES])
+    again = toxicity.train(*(np.array(x) for x in zip(*[(model.index[f], i) for i, s in enumerate(seen) for f in sorted(s) if f in model.index], strict=True)), np.array([r[3] for r in rows]), len(model.index), rounds=5)
+    assert again[0].shape == model.weights.shape
+    for r, s in zip(rows, seen, strict=True):
+        z = sum(model.weights[model.index[f]] for f in s if f in model.index)
+        assert model.score(r[1]) == pytest.approx([1 / (1 + math.exp(t - z)) for t in model.thresholds])
+
+
+def test_one_doc_id_many_times(spark, none):
+    """A doc_id that repeats gives one row of the sample; an empty table leaves all that is scored clean."""
+    docs = spark.createDataFrame([(1, "a b")] * 500 + [(1, None), (2, "c d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1)], "doc_id long, toxic int")
+    assert sorted(map(tuple, toxicity.labelled_sample(docs, labels, 10).collect())) == [("a b", 1), ("c d", 0)]
+    assert toxicity.clean(none, labels).count() == 0
+
+
 def test_gradients_of_the_network(monkeypatch):
     """Backpropagation through time against finite differences."""
     net = langid.Network.fresh(3, 1)
