@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +91,26 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left")
     return tried.where("_hot").drop("_hot").unionByName(rest)
 
 
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Entries (row, column) of a boolean matrix, fewer than rows + columns, that connect what all true entries connect."""
+    rows, cols = np.nonzero(linked)
+    parent = list(range(sum(linked.shape)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(rows.tolist(), cols.tolist(), strict=True):
+        a, b = find(i), find(len(linked) + j)
+        if a != b:
+            parent[a] = b
+            out.append((i, j))
+    return out
+
+
 def _state(edges: DataFrame) -> tuple:
     """Number of edges and an order-free checksum; equal states end the iteration."""
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()

@@ -14,8 +14,8 @@ verified on their full sets.
 Scale. Rows with equal sets are one class, numbered, before any bucket is built. In a bucket each class is compared with the
 bucket's smallest class only, its lead: a star, linear in the bucket. A lead's text is copied once for each ``BLOCK_CLASSES``
 of its members, which are dealt to the copies by hash. Where the classes of a lead still fall into several components, those
-outside the largest component meet all classes of the lead exactly, in blocks of bounded size of which only the linked pairs come
-back. So no bucket is capped, no pairs of a group are listed and no lead fills a task. Texts are fetched for candidate
+outside the largest component meet all classes of the lead exactly, in blocks of bounded size of which only as many linked pairs
+come back as connect the block. So no bucket is capped, no pairs of a group are listed and no lead fills a task. Texts are fetched for candidate
 classes only; those classes are broadcast while there are at most ``MOST_BROADCAST`` (about 120 bytes each), else shuffled.
 """
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, connected_components, keep, scratch, spread_join, written
+from .common import arrow_rows, connected_components, keep, scratch, spanning, spread_join, written
 from .text import joined_buffer, mixed, shingle_sets, slices
 
 UNIVERSE_BITS = 20
@@ -171,7 +171,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int
 
 
 def _block_links(words: int, percent: int):
-    """One block of minor classes against one block of all classes of a lead: the linked pairs of different components."""
+    """One block of minor classes against one block of all classes of a lead: linked pairs of different components that connect all linked ones."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf["minor"]], pdf[~pdf["minor"]]
@@ -188,8 +188,9 @@ def _block_links(words: int, percent: int):
         other = list(shingle_sets(*joined_buffer(pa.array(y["text"].iloc[cols], pa.string())), words))
         common = _intersections(own, other)
         total = np.array([len(s) for s in own])[:, None] + np.array([len(s) for s in other]) - common
-        i, j = np.nonzero(maybe[np.ix_(rows, cols)] & (100 * common >= percent * total))
-        a, b = x["cls"].to_numpy()[rows[i]], y["cls"].to_numpy()[cols[j]]
+        found = spanning(maybe[np.ix_(rows, cols)] & (100 * common >= percent * total))
+        a, b = (np.array([p[k] for p in found], np.int64) for k in (0, 1))
+        a, b = x["cls"].to_numpy()[rows[a]], y["cls"].to_numpy()[cols[b]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run, "a long, b long"

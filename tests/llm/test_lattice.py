@@ -1,9 +1,11 @@
 import itertools
 
 import numpy as np
+import pytest
 from helpers import components
 
 from colsieve.llm import lattice
+from colsieve.llm.common import spanning
 
 
 def test_decoder_finds_the_nearest_point():
@@ -50,7 +52,10 @@ def brute(rows, least=0.95):
     return sorted((str(rows[k][0]), n[k], smallest.get(comp[k])) for k in range(len(rows)))
 
 
-def test_links_and_components(spark, monkeypatch):
+@pytest.mark.parametrize("small", [0, 10**9])
+def test_links_and_components(spark, monkeypatch, small):
+    """Open cells in blocks only, and in joins only."""
+    monkeypatch.setattr(lattice, "SMALL", small)
     rows = vectors()
     df = spark.createDataFrame([(i, v, "x", "y", 1) for i, v in rows], "vec_id long, embedding array<float>, class string, cell string, n int")
     monkeypatch.setattr(lattice, "BLOCK", 8)  # several blocks in a component
@@ -60,14 +65,31 @@ def test_links_and_components(spark, monkeypatch):
     assert lattice.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_recall_of_cells_at_the_threshold():
-    """Pairs at exactly 0.95 share a cell in some table."""
+@pytest.mark.parametrize("n", [1000, 50_000, 10**6, 10**9])
+def test_recall_of_cells_at_the_threshold(n):
+    """Pairs at exactly 0.95 share a cell in some table, and random ones rarely do, with the plan for any number of vectors."""
+    how = lattice.plan(n, 0.95)
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(1500, 64))
+    x = rng.normal(size=(400, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
     g = rng.normal(size=x.shape)
     g -= (g * x).sum(axis=1)[:, None] * x
     g /= np.linalg.norm(g, axis=1)[:, None]
-    (hx, px), (hy, py) = lattice.cells(x), lattice.cells(0.95 * x + np.sqrt(1 - 0.95**2) * g)
+    (hx, px), (hy, py) = lattice.cells(x, how), lattice.cells(0.95 * x + np.sqrt(1 - 0.95**2) * g, how)
+    assert px.shape[1] == how.tables * how.parts * lattice.PROBES
     met = [bool(({*a} & {*c}) or ({*a} & {*d}) or ({*b} & {*c})) for a, b, c, d in zip(hx.tolist(), px.tolist(), hy.tolist(), py.tolist(), strict=True)]
-    assert np.mean(met) > 0.995
+    assert np.mean(met) > 0.99
+    same, _, unrelated = lattice._chances(how.width, 0.95)
+    assert n * unrelated**how.parts <= lattice.CROWD
+    home = sum(len({*a} & {*b}) for a, b in itertools.combinations(hx.tolist(), 2)) / (400 * 399 / 2 * how.tables)
+    assert home < 30 * unrelated**how.parts + 1e-4
+
+
+def test_spanning_links():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        linked = rng.random((9, 7)) < rng.choice([0.05, 0.2, 0.9])
+        every = [(i, 9 + j) for i, j in zip(*np.nonzero(linked), strict=True)]
+        some = [(i, 9 + j) for i, j in spanning(linked)]
+        assert set(some) <= set(every) and len(some) < 16
+        assert components(range(16), some) == components(range(16), every)
