@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 
 def delta(column: str, order: list[str], by: list[str] | None = None) -> Column:
-    """A column's change since the sample before; null for the first."""
+    """A column's change since the sample before; null for the first.
+
+    by: the series' keys. Without them all rows are one series, and one task sorts it: meant for the samples of one host.
+    """
     w = W.partitionBy(*(by or [])).orderBy(*order)
     return F.col(column) - F.lag(column).over(w)
 

@@ -66,9 +66,9 @@ def tokenize(text: str) -> list[str]:
     return [t for t in re.split(r"([()])| ", text) if t]
 
 
-def literal(token: str) -> Literal:
-    """The kind is inferred from the token alone: moment, bool, float (needs a point), 64-bit int, else string."""
-    if _MOMENT.fullmatch(token):
+def literal(token: str, moments: bool = True) -> Literal:
+    """The kind is inferred from the token alone: moment (if these are wanted), bool, float (needs a point), 64-bit int, else string."""
+    if moments and _MOMENT.fullmatch(token):
         try:
             at = datetime.strptime(token, MOMENT).replace(tzinfo=UTC)
             return Literal("moment", (at - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(milliseconds=1))
@@ -84,8 +84,8 @@ def literal(token: str) -> Literal:
 
 
 class _Parser:
-    def __init__(self, text: str, columns: list[str] | None):
-        self.tokens, self.at, self.columns = tokenize(text), 0, columns
+    def __init__(self, text: str, columns: list[str] | None, moments: bool):
+        self.tokens, self.at, self.columns, self.moments = tokenize(text), 0, columns, moments
 
     def peek(self) -> str | None:
         return self.tokens[self.at] if self.at < len(self.tokens) else None
@@ -129,12 +129,15 @@ class _Parser:
         op = self.next("an operator")
         if op not in COMPARE:
             raise PredicateError(f"not an operator: {op}")
-        return Cond(token, op, literal(self.next("a literal")))
+        return Cond(token, op, literal(self.next("a literal"), self.moments))
 
 
-def parse(text: str, columns: list[str] | None = None) -> Expr:
-    """The tree of a predicate. With ``columns``, conditions name columns by their index in that list."""
-    parser = _Parser(text, columns)
+def parse(text: str, columns: list[str] | None = None, moments: bool = True) -> Expr:
+    """The tree of a predicate. With ``columns``, conditions name columns by their index in that list.
+
+    Without moments a token like 2024-01-02-00:00:00 is a string.
+    """
+    parser = _Parser(text, columns, moments)
     out = parser.any_of()
     if parser.peek() is not None:
         raise PredicateError(f"unexpected: {parser.peek()}")

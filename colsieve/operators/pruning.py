@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 
 from .predicate import And, Cond, Expr, Literal, Not, Or, columns_of
 
-#: Of each column kind: the statistics that suit a literal kind, and the literal's value in their unit.
+#: Of each column kind and literal kind: the statistics that suit, and how many of the literal's units are one of theirs (the
+#: last for moments, where it is the other way round: theirs are microseconds, the literal's are milliseconds).
 _SUITS = {
-    ("int", "int"): ("int", lambda v: v),
-    ("int", "moment"): ("int", lambda v: v),
-    ("date", "int"): ("int", lambda v: v),
-    ("moment", "moment"): ("int", lambda v: v * 1000),
-    ("float", "float"): ("float", lambda v: v),
-    ("string", "string"): ("string", lambda v: v),
-    ("bool", "bool"): ("bool", lambda v: v),
+    ("int", "int"): ("int", 1, 1),
+    ("int", "moment"): ("int", 1, 1),
+    ("date", "int"): ("int", 1, 1),
+    ("date", "moment"): ("int", 86_400_000, 1),  # a date is its midnight
+    ("moment", "moment"): ("int", 1, 1000),
+    ("float", "float"): ("float", None, None),
+    ("string", "string"): ("string", None, None),
+    ("bool", "bool"): ("bool", None, None),
 }
 
 
@@ -43,15 +45,17 @@ def may_hold(op: str, negated: bool, low, high, value):
 def _condition(cond: Cond, negated: bool, at: str) -> Column:
     """Over the columns {at}kind, {at}min_int, ...: true keeps."""
     out = F.lit(True)
-    for (kind, literal_kind), (stat, convert) in _SUITS.items():
+    for (kind, literal_kind), (stat, unit, scale) in _SUITS.items():
         if literal_kind != cond.literal.kind:
             continue
         if kind == "float" and (negated or cond.op in (">", ">=")):
             continue  # NaN is above all numbers but not in the statistics
         if kind == "bool" and (negated or cond.op != "=="):
             continue
-        low, high = F.col(f"{at}min_{stat}"), F.col(f"{at}max_{stat}")
-        test = F.coalesce(may_hold(cond.op, negated, low, high, F.lit(convert(cond.literal.value))), F.lit(True))
+        low, high, value = F.col(f"{at}min_{stat}"), F.col(f"{at}max_{stat}"), cond.literal.value
+        if unit:
+            low, high, value = low * unit, high * unit, value * scale
+        test = F.coalesce(may_hold(cond.op, negated, low, high, F.lit(value)), F.lit(True))
         out = F.when(F.col(f"{at}kind") == kind, test).otherwise(out)
     return out
 

@@ -13,13 +13,14 @@ from . import aggregates, predicate
 @dataclass(frozen=True)
 class ScanQuery:
     """columns: names to return, in the table's order; or first_n: that many leading columns. where: predicate text, with
-    columns by index if by_index. aggs: ``OP(column)`` texts. scope: ``dataset`` for one row over everything, or
+    columns by index if by_index, and with literals of points in time if moments. aggs: ``OP(column)`` texts. scope: ``dataset`` for one row over everything, or
     ``file`` for one row per input file (column ``file``)."""
 
     columns: tuple[str, ...] | None = None
     first_n: int | None = None
     where: str | None = None
     by_index: bool = False
+    moments: bool = True
     aggs: tuple[str, ...] = field(default=())
     scope: str = "dataset"
     strict_nulls: bool = False
@@ -27,7 +28,7 @@ class ScanQuery:
     ignore_nan: bool = False
 
     def expression(self, df: DataFrame) -> predicate.Expr | None:
-        return None if self.where is None else predicate.parse(self.where, df.columns if self.by_index else None)
+        return None if self.where is None else predicate.parse(self.where, df.columns if self.by_index else None, self.moments)
 
     def filtered(self, df: DataFrame) -> DataFrame:
         expr = self.expression(df)

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsieve.functions.counters import counter_deltas
+from colsieve.functions.counters import counter_deltas, host_utilisation
 from colsieve.operators import predicate, pruning, ranges
 from colsieve.operators.scan import ScanQuery
+from colsieve.operators.throughput import throughput_report
 from colsieve.plans import workloads
 from colsieve.sources.footers import footer_stats
-from colsieve.sources.sinks import write_csv
+from colsieve.sources.sinks import shared_dir, write_csv
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -208,45 +208,116 @@ def q_counter_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = _table(spark, sf_dir, "nation")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    path = f"{shared}/nation-csv-{uuid.uuid4().hex}"
-    write_csv(nation, path)
+    path = f"{shared_dir(spark)}/nation-csv-{uuid.uuid4().hex}"
+    write_csv(nation, path, one_file=True)
     return spark.read.schema(nation.schema).option("header", True).csv(path)
 
 
-PRUNED = "l_quantity <= 40.0 AND NOT l_linenumber > 6"
-_META = "parquet_metadata('{dir}/lineitem.parquet')"
+_SAMPLES = "epoch_us(ts) / 1e6::DOUBLE AS time, event_id AS cpu_total, event_id // 3 AS cpu_idle, event_id * 2 AS io_ms, event_id * 1048576 AS rx_bytes, user_id * event_id AS tx_bytes, 4 AS cores"
+
+
+@_query(
+    f"""WITH s AS (SELECT user_id, {_SAMPLES} FROM (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY ALL)),
+    d AS (SELECT user_id, time, cores, time - lag(time) OVER w AS t, cpu_total - lag(cpu_total) OVER w AS c, cpu_idle - lag(cpu_idle) OVER w AS i, io_ms - lag(io_ms) OVER w AS io, rx_bytes - lag(rx_bytes) OVER w AS rx, tx_bytes - lag(tx_bytes) OVER w AS tx
+      FROM s WINDOW w AS (PARTITION BY user_id ORDER BY time))
+    SELECT user_id, time, CASE WHEN c <> 0 THEN round(100 * (c - i)::DOUBLE / c * cores, 6) ELSE 0.0::DOUBLE END AS cpu_percent, CASE WHEN t > 0 THEN round(io / (t * 1000) * 100, 6) ELSE 0.0::DOUBLE END AS disk_percent,
+      CASE WHEN t > 0 THEN round(rx / (t * 1048576), 6) ELSE 0.0::DOUBLE END AS rx_mib_s, CASE WHEN t > 0 THEN round(tx / (t * 1048576), 6) ELSE 0.0::DOUBLE END AS tx_mib_s FROM d WHERE t IS NOT NULL"""
+)
+def q_host_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events stand in for samples, a user for a host, ids for cumulative counters."""
+    events = _table(spark, sf_dir, "events").groupBy("user_id", "ts").agg(F.max("event_id").alias("id"))
+    samples = events.select(
+        "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("time"), F.col("id").alias("cpu_total"), F.expr("id div 3").alias("cpu_idle"), (F.col("id") * 2).alias("io_ms"),
+        (F.col("id") * 1048576).alias("rx_bytes"), (F.col("user_id") * F.col("id")).alias("tx_bytes"), F.lit(4).alias("cores"),
+    )
+    out = host_utilisation(samples, ["user_id"])
+    return out.withColumns({c: F.round(c, 6) for c in ("cpu_percent", "disk_percent", "rx_mib_s", "tx_mib_s")})
+
+
+@_query(
+    """SELECT share, round(threshold, 4) AS threshold FROM (SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS share,
+      unnest((SELECT quantile_cont(l_extendedprice, [1.0, 0.9, 0.75, 0.5, 0.25, 0.0]) FROM lineitem)) AS threshold)"""
+)
+def q_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workloads.ladder(_table(spark, sf_dir, "lineitem"), "l_extendedprice", (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)).withColumn("threshold", F.round("threshold", 4))
+
+
+#: Predicates for the pruning queries, each with the SQL over statistics (lo and hi by column) that keeps a row group.
+PRUNED = {
+    "l_quantity <= 40.0 AND NOT l_linenumber > 6": "lo['l_quantity']::DOUBLE <= 40 AND lo['l_linenumber']::BIGINT <= 6",
+    "l_linenumber > 7": "hi['l_linenumber']::BIGINT > 7",
+    "NOT l_linenumber <= 7 OR l_suppkey < 0": "hi['l_linenumber']::BIGINT > 7 OR lo['l_suppkey']::BIGINT < 0",
+    "l_quantity < 1.0": "lo['l_quantity']::DOUBLE < 1",
+    "l_quantity > 1000.0": "true",
+    "l_returnflag == Z": "lo['l_returnflag'] <= 'Z' AND hi['l_returnflag'] >= 'Z'",
+    "l_shipdate < 1990-01-01-00:00:00": "lo['l_shipdate']::TIMESTAMP < TIMESTAMP '1990-01-01'",
+    "l_shipdate >= 1990-01-01-00:00:00 AND l_linestatus == O": "hi['l_shipdate']::TIMESTAMP >= TIMESTAMP '1990-01-01' AND lo['l_linestatus'] <= 'O' AND hi['l_linestatus'] >= 'O'",
+    "l_orderkey == text": "true",
+}
+_FILE = "'/root/testdata/sf0.01/lineitem.parquet'"
+_CHUNKS = f"""chunks AS (SELECT parse_filename(file_name) AS file_name, CAST(row_group_id AS INTEGER) AS row_group, row_group_num_rows AS num_rows, CAST(column_id AS INTEGER) AS col_index, path_in_schema AS col_name,
+      least(coalesce(dictionary_page_offset, data_page_offset), data_page_offset) AS chunk_offset, total_compressed_size AS chunk_length, stats_null_count AS null_count, coalesce(stats_min_value, stats_min) AS low, coalesce(stats_max_value, stats_max) AS high, type
+      FROM parquet_metadata({_FILE})),
+    files AS (SELECT parse_filename(file_name) AS file_name, file_size_bytes AS file_size, footer_size FROM parquet_file_metadata({_FILE})),
+    groups AS (SELECT file_name, row_group, any_value(num_rows) AS num_rows, map(list(col_name), list(low)) AS lo, map(list(col_name), list(high)) AS hi FROM chunks GROUP BY file_name, row_group),
+    kept AS ({" UNION ALL ".join(f"SELECT '{p}' AS predicate, file_name, row_group, num_rows, {sql} AS keep FROM groups" for p, sql in PRUNED.items())})"""
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return footer_stats(spark, f"{sf_dir}/lineitem.parquet")
 
 
-_DIR = "/root/testdata/sf0.01"
+def _for_each_predicate(spark: SparkSession, sf_dir: str, plan) -> DataFrame:
+    stats, out = _stats(spark, sf_dir), None
+    for text in PRUNED:
+        one = plan(stats, predicate.parse(text)).withColumn("predicate", F.lit(text))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @_query(
-    f"""SELECT parse_filename(file_name) AS file_name, CAST(row_group_id AS INTEGER) AS row_group, row_group_num_rows AS num_rows, CAST(column_id AS INTEGER) AS col_index, path_in_schema AS col_name,
-      coalesce(dictionary_page_offset, data_page_offset) AS chunk_offset, total_compressed_size AS chunk_length FROM {_META.format(dir=_DIR)}"""
+    f"""WITH {_CHUNKS} SELECT file_name, row_group, num_rows, col_index, col_name, chunk_offset, chunk_length, null_count,
+      CASE WHEN col_name = 'l_shipdate' THEN epoch_us(low::TIMESTAMP) WHEN type LIKE 'INT%' THEN low::BIGINT END AS min_int, CASE WHEN col_name = 'l_shipdate' THEN epoch_us(high::TIMESTAMP) WHEN type LIKE 'INT%' THEN high::BIGINT END AS max_int,
+      CASE WHEN type = 'DOUBLE' THEN low::DOUBLE + 0.0::DOUBLE END AS min_float, CASE WHEN type = 'DOUBLE' THEN high::DOUBLE + 0.0::DOUBLE END AS max_float,
+      CASE WHEN type = 'BYTE_ARRAY' THEN low END AS min_string, CASE WHEN type = 'BYTE_ARRAY' THEN high END AS max_string FROM chunks"""
 )
 def q_footer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stats(spark, sf_dir).select("file_name", "row_group", "num_rows", "col_index", "col_name", "chunk_offset", "chunk_length")
+    whole = [F.col(f"{m}_int").cast("long").alias(f"{m}_int") for m in ("min", "max")]
+    real = [(F.col(f"{m}_float") + 0.0).alias(f"{m}_float") for m in ("min", "max")]  # no negative zero
+    return _stats(spark, sf_dir).select("file_name", "row_group", "num_rows", "col_index", "col_name", "chunk_offset", "chunk_length", "null_count", *whole, *real, "min_string", "max_string")
 
 
-@_query()
+@_query(f"WITH {_CHUNKS} SELECT predicate, file_name, row_group, keep FROM kept")
 def q_prune_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = _stats(spark, sf_dir)
-    return pruning.prune(stats, predicate.parse(PRUNED)).select(F.element_at(F.split("file", "/"), -1).alias("file_name"), "row_group", "keep")
+    out = _for_each_predicate(spark, sf_dir, pruning.prune)
+    return out.select("predicate", F.element_at(F.split("file", "/"), -1).alias("file_name"), "row_group", "keep")
 
 
-@_query()
+_ISLANDS = """islands AS (SELECT *, sum(starts) OVER (PARTITION BY predicate, file_name ORDER BY first, n ROWS UNBOUNDED PRECEDING) AS island FROM
+      (SELECT *, CASE WHEN first <= max(first + n) OVER (PARTITION BY predicate, file_name ORDER BY first, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS starts FROM wanted)),
+    merged AS (SELECT predicate, file_name, min(first)::BIGINT AS "offset", (max(first + n) - min(first))::BIGINT AS length FROM islands GROUP BY predicate, file_name, island)"""
+_WANTED = "wanted AS (SELECT predicate, k.file_name, chunk_offset AS first, chunk_length AS n FROM kept k JOIN chunks c ON k.file_name = c.file_name AND k.row_group = c.row_group WHERE keep{some} UNION ALL SELECT DISTINCT predicate, k.file_name, file_size - 8 - footer_size, footer_size FROM kept k JOIN files f ON k.file_name = f.file_name)"
+_SOME = ["l_partkey", "l_quantity", "l_shipdate"]
+
+
+@_query(f"""WITH {_CHUNKS}, {_WANTED.format(some=f" AND col_name IN ({', '.join(map(repr, _SOME))})")}, {_ISLANDS} SELECT predicate, file_name, "offset", length FROM merged""")
 def q_byte_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ranges.byte_ranges(_stats(spark, sf_dir), predicate.parse(PRUNED))
-    return out.select(F.element_at(F.split("file", "/"), -1).alias("file_name"), "offset", "length")
+    out = _for_each_predicate(spark, sf_dir, lambda stats, expr: ranges.byte_ranges(stats, expr, _SOME))
+    return out.select("predicate", F.element_at(F.split("file", "/"), -1).alias("file_name"), "offset", "length")
 
 
-@_query()
+@_query(
+    f"""WITH {_CHUNKS}, {_WANTED.format(some="")}, {_ISLANDS}, planned AS (SELECT predicate, file_name, sum(length)::BIGINT AS planned_bytes FROM merged GROUP BY ALL)
+    SELECT k.predicate, k.file_name, any_value(file_size)::BIGINT AS file_size, count(*) AS row_groups, sum(keep::INT)::BIGINT AS row_groups_kept, sum(num_rows)::BIGINT AS num_rows, sum(keep::INT * num_rows)::BIGINT AS num_rows_kept,
+      any_value(planned_bytes) AS planned_bytes, any_value(planned_bytes)::DOUBLE / any_value(file_size) AS selectivity
+    FROM kept k JOIN files f ON k.file_name = f.file_name JOIN planned p ON p.predicate = k.predicate AND p.file_name = k.file_name GROUP BY k.predicate, k.file_name"""
+)
 def q_scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranges.scan_report(_stats(spark, sf_dir), predicate.parse(PRUNED)).drop("file")
+    return _for_each_predicate(spark, sf_dir, ranges.scan_report).drop("file")
 
 
+@_query()
+def q_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ladder's thresholds, timed: no SQL, as seconds differ from run to run."""
+    queries = {name: ScanQuery(where=f"l_extendedprice > {at!r}", aggs=FIVE) for name, at in workloads.LADDER.items()}
+    return throughput_report(spark, f"{sf_dir}/lineitem.parquet", queries)

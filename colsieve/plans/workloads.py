@@ -60,3 +60,15 @@ def retrieval_rate(df: DataFrame, scans: Scans, days: float = 14) -> DataFrame:
     rate = sized.groupBy(scans.key, "size").agg((F.sum(scans.bytes) / F.nullif(F.col("size"), F.lit(0.0))).alias("rate"))
     month = F.sum(F.col("rate") * F.col("size")) / F.sum("size") / days * 365 / 12
     return rate.agg(month.alias("weighted_avg_read_per_size"), F.sum("size").alias("total_size"))
+
+
+def ladder(df: DataFrame, column: str, shares: tuple[float, ...]) -> DataFrame:
+    """(share, threshold): for each share of rows, from 0 to 1, the value that this share of the column's values is above.
+
+    Exact and interpolated; nulls and NaN don't count. Values are counted before they are sorted, so what one task
+    sorts are the distinct values; for columns with very many of them see ``percentile_approx``.
+    """
+    counts = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    at = F.expr(f"percentile(v, array({', '.join(str(1 - s) for s in shares)}), n)")
+    pairs = counts.agg(at.alias("at")).select(F.explode(F.arrays_zip(F.array(*map(F.lit, map(float, shares))).alias("share"), F.col("at"))).alias("p"))
+    return pairs.select(F.col("p.share").alias("share"), F.col("p.at").alias("threshold"))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colsieve.operators.predicate import And, Cond, Literal, Not, Or, PredicateError, columns_of, literal, parse, to_column, tokenize
+from colsieve.operators.scan import ScanQuery
 
 
 def test_tree_and_precedence():
@@ -47,6 +48,16 @@ SCHEMA = "i8 byte, i16 short, i32 int, i64 long, u64 decimal(20,0), f32 float, f
 SUITS = {"i8": "im", "i16": "im", "i32": "im", "i64": "im", "u64": "i", "f32": "f", "f64": "f", "t": "b", "s": "s", "d": "im", "ts": "m", "ntz": "m", "bin": ""}
 
 
+def test_without_moments(spark):
+    token = "2024-01-02-00:00:00"
+    assert literal(token).kind == "moment" and literal(token, moments=False) == Literal("string", token)
+    assert parse(f"NOT 0 == {token}", ["s"], moments=False) == Not(Cond("s", "==", Literal("string", token)))
+    df = spark.createDataFrame([(token,), ("x",)], "s string")
+    assert ScanQuery(where=f"0 == {token}", by_index=True, moments=False).run(df).count() == 1
+    with pytest.raises(PredicateError):
+        ScanQuery(where=f"s == {token}").run(df)
+
+
 def test_type_matrix(spark):
     schema = spark.createDataFrame([], SCHEMA).schema
     tokens = {"i": "5", "m": "2024-01-02-00:00:00", "f": "5.0", "b": "true", "s": "five"}

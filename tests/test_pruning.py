@@ -53,9 +53,17 @@ def test_footers(spark, groups):
         assert stats.where(F.col("file_name") == name).agg(F.sum("chunk_length")).first()[0] == want
 
 
+def test_footers_of_a_path_that_only_spark_opens(spark, groups):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.footers.link./at", f"file://{groups}")
+    seen, own = (footer_stats(spark, p) for p in ("viewfs://footers/at", groups))
+    columns = [c for c in own.columns if c != "file"]
+    assert all(r.file.startswith("viewfs:") for r in seen.select("file").distinct().collect())
+    assert sorted(map(str, seen.select(columns).collect())) == sorted(map(str, own.select(columns).collect()))
+
+
 def test_pruned_groups_hold_no_matching_row(spark, groups):
     rng = random.Random(7)
-    leaves = ["a < 250", "a >= 730", "a == 512", "b > 0.5", "i <= 10", "i == 49", "f > 50.0", "f < 20.0", "f == 30.5", "t == true", "t == false", "s == a-common-prefix-3", "s > a-common-prefix-7", "d < 2024-02-01-00:00:00", "d == 19800",
+    leaves = ["a < 250", "a >= 730", "a == 512", "b > 0.5", "i <= 10", "i == 49", "f > 50.0", "f < 20.0", "f == 30.5", "t == true", "t == false", "s == a-common-prefix-3", "s > a-common-prefix-7", "d < 2024-02-01-00:00:00", "d >= 2024-03-01-12:30:00", "d == 2024-02-01-00:00:00", "d == 2024-02-01-06:00:00", "d == 19800",
               "ts >= 2024-01-20-00:00:00", "n > 900", "n == 50", "a > 1000", "s < a"]
     stats = footer_stats(spark, groups).cache()
 
@@ -83,6 +91,13 @@ def test_pruned_groups_hold_no_matching_row(spark, groups):
         spark.conf.unset("spark.sql.parquet.filterPushdown")
 
 
+def test_dates_prune_by_moments(spark, groups):
+    """Groups of ten days each; midnight belongs to the day."""
+    stats = footer_stats(spark, f"{groups}/sorted.parquet")
+    for text, n in (("d > 2030-01-01-00:00:00", 0), ("d < 2024-01-01-00:00:00", 0), ("d < 2024-01-01-00:00:01", 1), ("d == 2024-01-15-00:00:00", 1), ("NOT d <= 2024-03-20-00:00:00", 2)):
+        assert prune(stats, parse(text)).where("keep").count() == n, text
+
+
 def test_unknown_column_and_type_mismatch_keep(spark, groups):
     stats = footer_stats(spark, groups)
     for text in ("zzz > 1", "a > 5000.0", "a == text", "b > 7"):

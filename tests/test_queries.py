@@ -4,8 +4,10 @@ import duckdb
 import pytest
 
 from colsieve.functions.counters import host_utilisation
+from colsieve.operators.scan import ScanQuery
+from colsieve.operators.throughput import throughput_report
 from colsieve.plans import registry, workloads
-from colsieve.sources.sinks import append_csv
+from colsieve.sources.sinks import append_csv, shared_dir
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events labels".split()
@@ -55,6 +57,28 @@ def test_append_csv(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "m")).count() == 6
 
 
+def test_ladder_skips_nulls_and_nan(spark):
+    df = spark.createDataFrame([(float(x),) for x in range(11)] + [(None,), (float("nan"),)], "v double")
+    assert [tuple(r) for r in workloads.ladder(df, "v", (0.1, 0.5, 1.0)).collect()] == [(0.1, 9.0), (0.5, 5.0), (1.0, 0.0)]
+
+
+def test_throughput(spark):
+    rows = {r["query"]: r for r in throughput_report(spark, f"{D}/lineitem.parquet", {"none": ScanQuery(where="l_linenumber > 7"), "all": ScanQuery()}, runs=2).collect()}
+    assert rows["all"].selectivity > 0.9 > rows["none"].selectivity and rows["all"].file_bytes == rows["none"].file_bytes
+    for r in rows.values():
+        assert r.queries_per_second == pytest.approx(1 / r.seconds) and r.gb_per_second == pytest.approx(r.planned_bytes / r.seconds / 1e9)
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda key, default: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        shared_dir(Cluster)
+    assert shared_dir(spark).startswith("file://")
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
