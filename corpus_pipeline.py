@@ -1,9 +1,10 @@
 """The corpus pipeline: toxicity, exact dedup, near dedup, mixing, BPE encoding.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame that is written as
-Parquet and read again as the docs of the next. All stages but the last return the columns of documents. ``run`` applies
-them to the documents table. SQL can't express the trained and hashed stages, so ORACLE_SQL is None and
-``tests/llm`` compares the pipeline with brute force.
+Parquet and read again as the docs of the next. All stages but the last return the columns of documents; extra columns, whatever
+their names, pass through unread. Empty tables stay empty. ``run`` applies the stages to the documents table. SQL can't express
+the trained and hashed stages, so ORACLE_SQL is None; ``tests/llm/test_pipeline.py`` compares ``run`` with plain Python code for all
+five stages and the tokenizers library.
 """
 
 from __future__ import annotations
@@ -18,27 +19,42 @@ ORACLE_SQL = None
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the severity model doesn't reject."""
+    """Documents that the severity model doesn't reject.
+
+    Null, empty and blank texts stay; repeated rows are judged alike; a null doc_id is judged as any other; a text of any length is
+    judged as a whole. Without labels of both kinds all documents stay.
+    """
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the largest doc_id."""
+    """One document of each group of equal texts, the one with the largest doc_id.
+
+    Null counts as the empty text; a null doc_id is the smallest; of repeated rows one stays.
+    """
     return exactdedup.deduplicated(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component on five-word shingles at 0.8, the one with the smallest doc_id."""
+    """One document of each near-duplicate component on five-word shingles at 0.8, the one with the smallest doc_id.
+
+    Texts without words link with nothing and stay, as do rows with a null doc_id. Rows with one doc_id and different texts are one
+    document, which stays or goes as a whole.
+    """
     return minhash.deduplicated(docs, words=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated and sampled to source weights 5, 2, 1, at most three epochs."""
+    """Documents repeated and sampled to source weights 5, 2, 1, at most three epochs.
+
+    A null source is a source of its own; texts without words count nothing and come as often as their source is taken whole; a
+    document at the edge of its source's target comes with its first words only.
+    """
     return mixing.mixed(docs, weights=(5, 2, 1), epochs=3)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the text's digest after decoding."""
+    """Token ids of every document, with the text's digest after decoding; a null text counts as empty, rows are independent."""
     out = bpe.tokenize(docs, bpe.default_vocabulary(), decode=True)
     return out.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
