@@ -7,14 +7,17 @@ the published pattern of the byte-level pre-tokenizer; those up to ``LONGEST_CAC
 bounded table for the length of a task, as words repeat. Texts are processed whole; a piece of any length costs
 O(n log n).
 
-The vocabulary file is read once on the driver from the path given (about 1.5 MB, whatever the data) and broadcast.
+The vocabulary file is read once on the driver from the path given and broadcast as arrays (about 2 MB, whatever the data).
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import json
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +25,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import slices
+from .common import small_batches
+from .text import slices, trim
 
 #: Fixed value: the byte-level pre-tokenizer's published pattern.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONGEST_CACHED, MOST_CACHED = 48, 300_000
+SLICE_BYTES = 2 << 20
 NONE, NO_PAIR = 1 << 62, 1 << 30
 
 
@@ -42,6 +47,32 @@ def byte_symbols() -> list[str]:
     return out
 
 
+class Vocabulary(NamedTuple):
+    """A vocabulary file as arrays: pairs of ids (sorted) and their ranks, merged ids by rank, ids of single bytes, bytes of ids."""
+
+    pair_keys: np.ndarray
+    pair_ranks: np.ndarray
+    merged: np.ndarray
+    first: np.ndarray
+    raw: bytes
+    ends: np.ndarray
+    special: dict[str, int]
+
+    @classmethod
+    def parse(cls, file: str) -> Vocabulary:
+        spec = json.loads(file)
+        vocab, symbols = spec["model"]["vocab"], byte_symbols()
+        byte_of = {c: b for b, c in enumerate(symbols)}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        pairs = np.array([vocab[a] << 20 | vocab[b] for a, b in merges], np.int64)
+        order = np.argsort(pairs)
+        special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        known = {i: bytes(byte_of[c] for c in token) for token, i in vocab.items() if token not in special} | {i: s.encode() for s, i in special.items()}
+        tokens = [known.get(i, b"") for i in range(max(known) + 1)]
+        ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
+        return cls(pairs[order], order.astype(np.int32), np.array([vocab[a + b] for a, b in merges], np.int32), np.array([vocab[c] for c in symbols], np.int32), b"".join(tokens), ends, special)
+
+
 class MinTree:
     """A segment tree of minima over ``values``: ``root`` is the least, ``put`` changes one leaf."""
 
@@ -93,33 +124,27 @@ class _Words(dict):
 class Tokenizer(dict):
     """Encodes and decodes with one vocabulary; as a mapping, from a piece to its ids as little-endian bytes."""
 
-    def __init__(self, file: str):
-        spec = json.loads(file)
-        vocab = spec["model"]["vocab"]
-        byte_of = {c: b for b, c in enumerate(byte_symbols())}
-        self.first = [vocab[c] for c in byte_symbols()]
-        self.ranks, self.merged = {}, []
-        for rank, merge in enumerate(spec["model"]["merges"]):
-            a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self.ranks[vocab[a] << 20 | vocab[b]] = rank
-            self.merged.append(vocab[a + b])
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        known = {i: bytes(byte_of[c] for c in token) for token, i in vocab.items() if token not in self.special} | {i: s.encode() for s, i in self.special.items()}
-        self.bytes_of = [known.get(i, b"") for i in range(max(known) + 1)]
-        pairs = np.array(list(self.ranks), np.int64)
-        order = np.argsort(pairs)
-        self.pair_keys, self.pair_ranks = pairs[order], np.array(list(self.ranks.values()), np.int32)[order]
-        self.merged_array, self.first_array = np.array(self.merged, np.int32), np.array(self.first, np.int32)
+    def __init__(self, vocabulary: Vocabulary):
+        v = self.vocabulary = vocabulary
+        self.pair_keys, self.pair_ranks, self.merged_array, self.first_array = v.pair_keys, v.pair_ranks, v.merged, v.first
+        self.first, self.special = v.first.tolist(), v.special
+        self.bytes_of = [v.raw[i:j] for i, j in zip(v.ends[:-1].tolist(), v.ends[1:].tolist(), strict=True)]
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = regex.compile(PIECES).findall
         self.word, self.spaced = _Words(self, ""), _Words(self, " ")
         self.line_feed = self["\n"]
 
+    @functools.cached_property
+    def merges(self) -> tuple[dict[int, int], list[int]]:
+        """Rank by pair and merged id by rank, for pieces that are merged one by one."""
+        return dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist(), strict=True)), self.merged_array.tolist()
+
     def merge(self, symbols: list[int]) -> list[int]:
         """The ids left when no pair can merge."""
-        n, ranks, merged = len(symbols), self.ranks, self.merged
+        n = len(symbols)
         if n < 2:
             return symbols
+        ranks, merged = self.merges
         bits = n.bit_length()
         place = (1 << bits) - 1
         tree = MinTree([(r << bits | i) if (r := ranks.get(symbols[i] << 20 | symbols[i + 1])) is not None else NONE for i in range(n - 1)])
@@ -218,7 +243,8 @@ class Tokenizer(dict):
                         new.update(x.split(" ", 1)[0] for x in text.split("\n"))
             new = [x for x in new if x not in known and 0 < len(x) <= LONGEST_CACHED and not (x[0].isspace() or x[-1].isspace())]
             split = [self.pieces(known.before + x) for x in new]
-            fresh = list({x for s in split for x in s if x not in self})
+            whole = {s[0]: x for x, s in zip(new, split, strict=True) if len(s) == 1}  # remembered as words, not as pieces too
+            fresh = list({x for s in split for x in s if self.met(x) is None})
             ids = {x: None for x in fresh}
             coded = [x.encode() for x in fresh]
             fits = [i for i, x in enumerate(coded) if len(x) <= 64]
@@ -228,9 +254,16 @@ class Tokenizer(dict):
                 known.clear()
             if len(self) + len(fresh) > MOST_CACHED:
                 self.clear()
-            self.update((k, v) for k, v in ids.items() if v is not None and len(k) <= LONGEST_CACHED)
+            self.update((k, v) for k, v in ids.items() if v is not None and k not in whole and len(k) <= LONGEST_CACHED)
             for x, s in zip(new, split, strict=True):
-                known[x] = b"".join([ids.get(y) or self[y] for y in s])
+                known[x] = b"".join([ids.get(y) or self.met(y) or self[y] for y in s])
+
+    def met(self, piece: str) -> bytes | None:
+        """The ids of a piece if they are remembered, as a piece or as a word."""
+        ids = self.get(piece)
+        if ids is None:
+            ids = self.spaced.get(piece[1:]) if piece[0] == " " else self.word.get(piece)
+        return ids
 
     def __missing__(self, piece: str) -> bytes:
         first = self.first
@@ -285,12 +318,11 @@ class Tokenizer(dict):
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode(errors="replace")
 
 
-_loaded: dict[int, Tokenizer] = {}
+_loaded: dict[str, Tokenizer] = {}
 
 
-def _tokenizer(shared) -> Tokenizer:
+def _tokenizer(key: str, shared) -> Tokenizer:
     """One for each Python worker and vocabulary."""
-    key = hash(shared.value)
     if key not in _loaded:
         _loaded.clear()
         _loaded[key] = Tokenizer(shared.value)
@@ -311,14 +343,16 @@ def tokenize(docs: DataFrame, path: str, decode: bool = False) -> DataFrame:
     doc_id and text are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     with open(path, encoding="utf-8") as f:
-        shared = spark.sparkContext.broadcast(f.read())
+        file = f.read()
+    key, shared = hashlib.sha256(file.encode()).hexdigest(), spark.sparkContext.broadcast(Vocabulary.parse(file))
     kinds = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())] + [("decoded", pa.string())] * decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(shared)
+        tok = _tokenizer(key, shared)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 tok.learn(texts)
                 ids = list(map(tok.encode, texts))
@@ -327,6 +361,7 @@ def tokenize(docs: DataFrame, path: str, decode: bool = False) -> DataFrame:
                     cols.append(pa.array(map(tok.decode, ids), pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(kinds))
         tok.forget()
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", decoded string" * decode)

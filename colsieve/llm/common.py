@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +76,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], **kinds: pa.DataType) -> DataFrame:
+    """A few rows of the driver as a DataFrame; through Arrow, as rows of Python objects would start more Python workers."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return spark.createDataFrame(pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds.items(), columns, strict=True)}))
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
     """left with the columns of right (key, ..., use), a lookup with one row for each key; how: left or inner.
 
@@ -150,13 +157,22 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of whole texts in an Arrow batch; Spark's own limits are 10,000 rows and 64 MB, for each of a few buffers in either process.
+TEXT_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limits the session's Arrow batches to ``TEXT_ROWS`` rows from now on, as lazy results are planned later. It changes no result."""
+    spark.conf.set(_ARROW_ROWS, str(min(TEXT_ROWS, int(spark.conf.get(_ARROW_ROWS)) or TEXT_ROWS)))
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, n: int):
     """At most n rows in an Arrow batch of what is executed inside: bounds a batch of rows that hold long texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(n))
+    before = spark.conf.get(_ARROW_ROWS)
+    spark.conf.set(_ARROW_ROWS, str(n))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(_ARROW_ROWS, before)

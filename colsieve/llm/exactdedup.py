@@ -21,10 +21,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, keep, scratch, shared_dir, spread_join, written
+from .common import delete, keep, local_frame, scratch, shared_dir, spread_join, written
 from .text import mixed
 
 _U = np.uint64
@@ -177,7 +178,7 @@ class Store:
 
     def known(self) -> DataFrame:
         """(digest, texts, size, keep_id, keep_row) of all snapshots, not yet merged; texts: how many new texts the snapshot has."""
-        out = self.spark.createDataFrame([], _GROUPS)
+        out = local_frame(self.spark, [], digest=pa.binary(), texts=pa.int64(), size=pa.int64(), keep_id=pa.int64(), keep_row=pa.int64())
         for path, _ in self.snapshots():
             for part in ("groups", "again"):
                 out = out.unionByName(self.spark.read.schema(_GROUPS).parquet(f"{path}/{part}").select(out.columns))
@@ -195,7 +196,7 @@ class Store:
         """
         sizes = [F.count("*").alias("size"), F.max("doc_id").alias("keep_id"), F.coalesce(F.max_by("row", "doc_id"), F.min("row")).alias("keep_row")]
         batch = written(hashed.groupBy("digest").agg(*sizes), "ed-batch")
-        known, old = self.spark.createDataFrame([], "digest binary"), self.spark.createDataFrame([], "digest binary, body binary")
+        known, old = local_frame(self.spark, [], digest=pa.binary()), local_frame(self.spark, [], digest=pa.binary(), body=pa.binary())
         for path, buckets in self.snapshots():
             accepted = _accepted(batch, self.spark.read.schema("bucket long, filter binary").parquet(f"{path}/filters"), buckets)
             exact = self.spark.read.schema(f"{_GROUPS}, bucket long").parquet(f"{path}/groups").select("bucket", "digest")
@@ -226,7 +227,7 @@ class Store:
         new.repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/groups")
         keyed = self.spark.read.schema(f"{_GROUPS}, bucket long").parquet(f"{path}/groups").select("bucket", _key().alias("key"))
         _filters(keyed).write.mode("overwrite").parquet(f"{path}/filters")
-        self.spark.createDataFrame([(buckets,)], "buckets long").write.mode("overwrite").parquet(f"{path}/ready")
+        local_frame(self.spark, [(buckets,)], buckets=pa.int64()).write.mode("overwrite").parquet(f"{path}/ready")
 
 
 def exact_duplicates(docs: DataFrame, is_new: str | None = None, digest: Callable[[Column], Column] = sha256) -> DataFrame:

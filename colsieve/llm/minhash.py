@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, connected_components, keep, scratch, spanning, spread_join, written
+from .common import arrow_rows, connected_components, keep, scratch, small_batches, spanning, spread_join, written
 from .text import joined_buffer, mixed, shingle_sets, slices
 
 UNIVERSE_BITS = 20
@@ -254,6 +254,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     nothing. Equal sets are linked. Rows that repeat a doc_id share its component, also where their texts differ and link with
     different documents. A null doc_id keeps the row, with a null component, kept. Columns other than doc_id and text are not read.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.unhex(F.md5("text")))
     with scratch():
         feats = keep(written(texts.mapInArrow(*_features(words)).withColumn("row", F.monotonically_increasing_id()), "nd-features"))

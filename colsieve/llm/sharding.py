@@ -19,11 +19,12 @@ from __future__ import annotations
 from bisect import bisect_right
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, local_frame, written
 
 FIRST_DIGITS, MORE_DIGITS = 4, 2
 CELLS = 2048
@@ -110,7 +111,7 @@ def shard_cuts(groups: DataFrame, shards: int) -> tuple[list[str], list[str]]:
             by_length.setdefault(len(x), []).append(x)
         more = []
         for n, some in by_length.items():
-            wanted = groups.sparkSession.createDataFrame([(x,) for x in some], "p string")
+            wanted = local_frame(groups.sparkSession, [(x,) for x in some], p=pa.string())
             more += units(rest.join(F.broadcast(wanted), F.substring("key", 1, n) == F.col("p"), "left_semi"), n + MORE_DIGITS)
         have = sorted([u for u in have if u[0] not in prefixes] + more)
         digits += MORE_DIGITS

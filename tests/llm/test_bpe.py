@@ -6,13 +6,13 @@ import pytest
 from helpers import odd_docs
 from tokenizers import Tokenizer as Reference
 
-from colsieve.llm.bpe import MinTree, Tokenizer, default_vocabulary, tokenize
+from colsieve.llm.bpe import MinTree, Tokenizer, Vocabulary, default_vocabulary, tokenize
 
 
 @pytest.fixture(scope="module")
 def both():
     with open(default_vocabulary(), encoding="utf-8") as f:
-        return Tokenizer(f.read()), Reference.from_file(default_vocabulary())
+        return Tokenizer(Vocabulary.parse(f.read())), Reference.from_file(default_vocabulary())
 
 
 def same(both, text):
