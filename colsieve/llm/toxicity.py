@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import local_frame, scratch, small_batches, written
 from .text import slices
 
 SAMPLE_ROWS = 6000
@@ -66,9 +66,10 @@ class Model:
         return found
 
     def score(self, text: str | None) -> np.ndarray:
-        """P(grade >= 1), P(grade >= 2), ...; their sum is the expected grade. A text without features scores by the thresholds alone."""
-        z = self.weights[list(found)].sum() if (found := self.features(text)) else 0.0
-        return 1 / (1 + np.exp(np.clip(self.thresholds - z, -50, 50)))
+        """P(grade >= 1), P(grade >= 2), ...; their sum is the expected grade. All are 0 for a text without features: nothing speaks against it."""
+        if not (found := self.features(text)):
+            return np.zeros(GRADES - 1)
+        return 1 / (1 + np.exp(np.clip(self.thresholds - self.weights[list(found)].sum(), -50, 50)))
 
 
 def loss_and_gradient(params: np.ndarray, col: np.ndarray, row: np.ndarray, grade: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
@@ -135,7 +136,7 @@ def fit(sample: DataFrame, **training) -> Model:
         counts = counts.where(f"a >= {LEAST_ROWS}").select("feature", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / c)).alias("strength"))
         best = counts.orderBy(F.desc(F.abs("strength")), "feature").limit(MOST_FEATURES).collect()
         index = {r["feature"]: i for i, r in enumerate(best)}
-        chosen = numbered.sparkSession.createDataFrame(list(index.items()) or [("", -1)], "feature string, i int")
+        chosen = local_frame(numbered.sparkSession, list(index.items()), feature=pa.string(), i=pa.int32())
         has = rows.select("row", F.explode("features").alias("feature")).join(F.broadcast(chosen), "feature").groupBy("row").agg(F.sort_array(F.collect_list("i")).alias("ids"))
         got = rows.select("row", "toxic").join(has, "row", "left").orderBy("row").collect()  # at most MOST_FEATURES numbers a row
     strong = {i: r["feature"].rstrip("*")[:3] for i, r in enumerate(best) if r["strength"] > 4 and r["odds"] > 3}
@@ -151,9 +152,10 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """(doc_id, severity, p_toxic, grade, toxic) for each row of docs (doc_id, text, ...).
 
     severity: expected grade, 0 to 3; p_toxic: P(grade >= 1); grade: the nearest whole severity; toxic: p_toxic >= ``REJECT``.
-    Null and empty texts have no features and are not toxic. labels: (doc_id, toxic). Repeated rows score alike; a
+    Texts without features, null and empty ones among them, have severity 0. labels: (doc_id, toxic). Repeated rows score alike; a
     null doc_id is scored as any other. Columns other than doc_id and text are not read.
     """
+    small_batches(docs.sparkSession)
     model = fit(labelled_sample(docs, labels, sample_rows))
     shared = docs.sparkSession.sparkContext.broadcast((model.index, model.weights, model.thresholds))
 
@@ -161,7 +163,7 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         own = Model(*shared.value)
         for whole in batches:
             for batch in slices(whole, "text"):
-                p = np.array([own.score(t) if t and t.strip() else np.zeros(GRADES - 1) for t in batch.column("text").to_pylist()]).reshape(-1, GRADES - 1)
+                p = np.array([own.score(t) for t in batch.column("text").to_pylist()]).reshape(-1, GRADES - 1)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(p.sum(axis=1)), pa.array(p[:, 0])], names=["doc_id", "severity", "p_toxic"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -170,7 +172,8 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def clean(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of docs, all columns unchanged, that the model does not call toxic; null and empty texts stay."""
+    """The rows of docs, all columns unchanged, that the model does not call toxic; texts without features stay, null and empty ones among them."""
+    small_batches(docs.sparkSession)
     model = fit(labelled_sample(docs, labels, sample_rows))
     shared = docs.sparkSession.sparkContext.broadcast((model.index, model.weights, model.thresholds))
 
@@ -178,7 +181,7 @@ def clean(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         own = Model(*shared.value)
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
-                toxic = [bool(t and t.strip()) and own.score(t)[0] >= REJECT for t in batch.column("text").to_pylist()]
+                toxic = [own.score(t)[0] >= REJECT for t in batch.column("text").to_pylist()]
                 yield batch.filter(pa.array([not x for x in toxic], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
