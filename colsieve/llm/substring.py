@@ -11,11 +11,11 @@ Scale. Documents are handled in slices of a few megabytes of text. A slice sends
 note whether several of its texts have it, and one for each distinct window, with the least doc_id that has it; so a passage
 shared by very many documents costs an entry for each slice, not for each document, and answers go back to slices. Entries
 are dealt by hash into buckets of a fixed amount of text and packed as a few binary arrays for each bucket and slice, so the
-shuffle takes about 5 bytes a word and not a row a word. The packing wears off as slices times buckets near the
-number of words: at 1 TB a packed row still has some 40 entries, at 100 TB about one, unless ``BUCKET_BYTES`` grows with the
-executors' memory. Texts move only for documents that have anchors; their keys are broadcast to keep the others out of the
-shuffle while there are at most ``MOST_BROADCAST`` (about 100 bytes each), beyond that the join is shuffled. Windows are compared by
-64-bit hashes that depend on every word: two different windows agree with probability 2^-64.
+shuffle takes about 5 bytes a word and not a row a word. Where there are more than ``COARSE`` buckets, slices deal to that many
+groups of buckets first, and tasks that stream over a group pack the entries of many slices anew for each bucket; so rows stay packed
+at any input, for a second shuffle of the entries. Texts move only for documents that have anchors; their keys are broadcast to keep
+the others out of the shuffle while there are at most ``MOST_BROADCAST`` (about 100 bytes each), beyond that the join is shuffled.
+Windows are compared by 64-bit hashes that depend on every word: two different windows agree with probability 2^-64.
 """
 
 from __future__ import annotations
@@ -30,16 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, scratch, written
+from .common import keep, scratch, small_batches, written
 from .text import joined_buffer, rolling, slices, word_hashes, words
 
 WINDOW, BLOCK = 50, 25
 #: Text for each bucket: the least, and the most once there would be more than MANY_BUCKETS.
 BUCKET_BYTES, MANY_BUCKETS = (4 << 20, 64 << 20), 16384
+COARSE, REPACKED = 4096, 4 << 20
 MOST_BROADCAST = 200_000
 KEY = 16
 _LOW = np.uint64(0xFFFFFFFF)
-_PACKED = "bucket long, slice long, a binary, b binary, c binary"
+#: bucket (below 0: a header), slice, two arrays of numbers and one of flags; where buckets are dealt in two steps, slice is null in the end
+#: and ``more`` has the slices and their numbers of entries, and after the first step the bucket within its group.
+_PACKED = "bucket long, slice long, a binary, b binary, c binary, more binary"
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -84,8 +87,66 @@ def _flags(raw: bytes, n: int) -> np.ndarray:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "slice", "a", "b", "c"])
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "slice", "a", "b", "c", "more"])
+
+
+def _dealt(of: np.ndarray, several: int, name: int, a: np.ndarray, b: np.ndarray, *flags: np.ndarray) -> list[tuple]:
+    """Entries, sorted by bucket, as packed rows: one for each bucket, or for each group of several buckets."""
+    group = of // several
+    cut = _cuts(group).tolist() if len(of) else [0]
+    more = lambda i, j: planes((of[i:j] % several).astype("<u4")) if several > 1 else None
+    return [(int(group[i]), name, planes(a[i:j]), planes(b[i:j]), _bits(np.concatenate([f[i:j] for f in flags])), more(i, j)) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _repacked(several: int, kind: str, flags: int):
+    """Rows of groups of buckets to rows of buckets, each with the entries of as many slices as come together; headers pass."""
+
+    def packed(rows: list[dict]) -> pa.RecordBatch:
+        count = [len(r["more"]) // 4 for r in rows]
+        of = np.repeat([r["bucket"] * several for r in rows], count) + np.concatenate([unplanes(r["more"], "<u4") for r in rows])
+        a, b = (np.concatenate([unplanes(r[c], kind) for r in rows]) for c in "ab")
+        bits = np.concatenate([_flags(r["c"], flags * n).reshape(flags, n) for r, n in zip(rows, count, strict=True)], axis=1)
+        name = np.repeat(np.array([r["slice"] for r in rows], np.int64), count)
+        order = np.argsort(of, kind="stable")
+        of, a, b, bits, name = of[order], a[order], b[order], bits[:, order], name[order]
+        cut, out = _cuts(of).tolist(), []
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            run = _cuts(name[i:j])
+            out.append((int(of[i]), None, planes(a[i:j]), planes(b[i:j]), _bits(bits[:, i:j].ravel()), np.stack([name[i:j][run[:-1]], np.diff(run)]).astype("<i8").tobytes()))
+        return _batch(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, entries = [], 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["bucket"] < 0:
+                    yield _batch([tuple(r.values())])
+                    continue
+                rows.append(r)
+                entries += len(r["more"]) // 4
+                if entries >= REPACKED:
+                    yield packed(rows)
+                    rows, entries = [], 0
+        if rows:
+            yield packed(rows)
+
+    return run
+
+
+def _by_bucket(packed: DataFrame, several: int, kind: str, flags: int) -> DataFrame:
+    """Packed rows, dealt in two steps if there are groups of several buckets."""
+    if several == 1:
+        return packed
+    salted = packed.repartition("bucket", F.pmod("slice", F.lit(64)))
+    return salted.mapInArrow(_repacked(several, kind, flags), _PACKED)
+
+
+def _slices(pdf: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slices of a bucket's entries, run by run, and how many entries each run has."""
+    runs = [np.array([[s], [len(a) // width]], np.int64) if more is None else np.frombuffer(more, "<i8").reshape(2, -1) for s, a, more in zip(pdf["slice"], pdf["a"], pdf["more"], strict=True)]
+    names, count = np.concatenate(runs, axis=1)
+    return names, count
 
 
 def _name(*content: bytes) -> int:
@@ -98,7 +159,7 @@ def _ids(batch: pa.RecordBatch) -> tuple[bytes, bytes]:
     return ids, b"".join(k or bytes(KEY) for k in batch.column("text_key").to_pylist())
 
 
-def _probes(buckets: int, window: int, block: int):
+def _probes(buckets: int, several: int, window: int, block: int):
     """Slices of documents to packed entries: a header (bucket < 0) and, for each bucket, the slice's distinct runs.
 
     An entry is a run's hash, a text that has it, whether it is a block, and whether several texts have it; for these the header lists all.
@@ -120,17 +181,14 @@ def _probes(buckets: int, window: int, block: int):
                     each = _cuts(h, text)[:-1]
                     h, text, aligned = h[each], text[each], np.logical_or.reduceat(aligned, each)
                     first = _cuts(h)
-                    several = np.diff(first) > 1
-                    of_several = np.repeat(several, np.diff(first))
-                    shared = (h[of_several] & _LOW).astype("<u4").tobytes(), text[of_several].astype("<u4").tobytes()
+                    many = np.diff(first) > 1
+                    of_many = np.repeat(many, np.diff(first))
+                    shared = (h[of_many] & _LOW).astype("<u4").tobytes(), text[of_many].astype("<u4").tobytes()
                     first = first[:-1]
                     h, text, aligned = h[first], text[first], np.logical_or.reduceat(aligned, first)
-                    of = bucket_of(h, buckets)
-                    cut = _cuts(of).tolist()
-                    for i, j in zip(cut[:-1], cut[1:], strict=True):
-                        entries.append((int(of[i]), name, planes((h[i:j] & _LOW).astype("<u4")), planes(text[i:j].astype("<u4")), _bits(np.concatenate([aligned[i:j], several[i:j]]))))
+                    entries = _dealt(bucket_of(h, buckets), several, name, (h & _LOW).astype("<u4"), text.astype("<u4"), aligned, many)
                 sizes = np.diff(bound).astype("<i8").tobytes()
-                head = (-1 - name % buckets, name, ids + sizes + keys + shas, shared[0], shared[1])
+                head = (-1 - name % buckets, name, ids + sizes + keys + shas, shared[0], shared[1], None)
                 yield _batch([head, *entries])
 
     return run
@@ -140,17 +198,26 @@ def _match(pdf: pd.DataFrame) -> pd.DataFrame:
     """A bucket's entries to those that are anchors: some block has the hash, and two documents have it."""
     if pdf["bucket"].iloc[0] < 0:
         return pdf[["slice", "a", "b", "c"]]
-    prints = [unplanes(x, "<u4") for x in pdf["a"]]
-    count = [len(x) for x in prints]
-    flags = [_flags(x, 2 * n) for x, n in zip(pdf["c"], count, strict=True)]
-    aligned, several = (np.concatenate([f[k * n : k * n + n] for f, n in zip(flags, count, strict=True)]) for k in (0, 1))
-    value, which, times = np.unique(np.concatenate(prints), return_inverse=True, return_counts=True)
+    parts = [unplanes(x, "<u4") for x in pdf["a"]]
+    flags = [_flags(x, 2 * len(p)).reshape(2, -1) for x, p in zip(pdf["c"], parts, strict=True)]
+    aligned, several = np.concatenate(flags, axis=1)
+    prints, text = np.concatenate(parts), np.concatenate([unplanes(x, "<u4") for x in pdf["b"]])
+    value, which, times = np.unique(prints, return_inverse=True, return_counts=True)
     is_block = np.zeros(len(value), bool)
     is_block[which[aligned]] = True
     many = times > 1
     many[which[several]] = True
-    hit = np.split((is_block & many)[which], np.cumsum(count)[:-1])
-    rows = [(s, planes(p[k]), planes(unplanes(b, "<u4")[k]), None) for s, p, b, k in zip(pdf["slice"], prints, pdf["b"], hit, strict=True) if k.any()]
+    return _answers(pdf, (is_block & many)[which], prints, text)
+
+
+def _answers(pdf: pd.DataFrame, hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """The entries hit, packed by slice; c is null, which tells them from headers."""
+    names, count = _slices(pdf, a.itemsize)
+    name = np.repeat(names, count)[hit]
+    order = np.argsort(name, kind="stable")
+    name, a, b = name[order], a[hit][order], b[hit][order]
+    cut = _cuts(name).tolist() if len(name) else [0]
+    rows = [(name[i], planes(a[i:j]), planes(b[i:j]), None) for i, j in zip(cut[:-1], cut[1:], strict=True)]
     return pd.DataFrame(rows, columns=["slice", "a", "b", "c"])
 
 
@@ -180,7 +247,7 @@ def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": doc_id, "text_key": pick(keys, KEY), "n_words": size, "full_sha": pick(shas, 32), "anchors": anchors, "copies": len(heads)})
 
 
-def _windows(buckets: int, window: int, block: int):
+def _windows(buckets: int, several: int, window: int, block: int):
     """Documents with anchors to packed entries: a header with the slice's texts, and its distinct windows that hold an anchor.
 
     An entry is a window's hash, the least doc_id that has it, and whether other doc_ids of the slice do.
@@ -209,14 +276,12 @@ def _windows(buckets: int, window: int, block: int):
                 order = np.lexsort((doc, w))
                 w, doc = w[order], doc[order]
                 first = _cuts(w)
-                several = doc[first[1:] - 1] != doc[first[:-1]]
+                many = doc[first[1:] - 1] != doc[first[:-1]]
                 w, doc = w[first[:-1]], doc[first[:-1]]
                 packed, keys = _ids(batch)
                 name = _name(packed, keys)
-                of = bucket_of(w, buckets)
-                cut = _cuts(of).tolist()
-                entries = [(int(of[i]), name, planes(w[i:j]), planes(doc[i:j]), _bits(several[i:j])) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-                yield _batch([(-1 - name % buckets, name, buf.tobytes(), at.astype("<i8").tobytes(), ids.tobytes() + keys), *entries])
+                entries = _dealt(bucket_of(w, buckets), several, name, w, doc.view(np.uint64), many)
+                yield _batch([(-1 - name % buckets, name, buf.tobytes(), at.astype("<i8").tobytes(), ids.tobytes() + keys, None), *entries])
 
     return run
 
@@ -226,16 +291,14 @@ def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     if pdf["bucket"].iloc[0] < 0:
         return pdf[["slice", "a", "b", "c"]]
     parts = [unplanes(x, "<u8") for x in pdf["a"]]
-    count = [len(x) for x in parts]
     doc = np.concatenate([unplanes(x, "<i8") for x in pdf["b"]])
-    several = np.concatenate([_flags(x, n) for x, n in zip(pdf["c"], count, strict=True)])
-    value, which = np.unique(np.concatenate(parts), return_inverse=True)
+    several = np.concatenate([_flags(x, len(p)) for x, p in zip(pdf["c"], parts, strict=True)])
+    w = np.concatenate(parts)
+    value, which = np.unique(w, return_inverse=True)
     least = np.full(len(value), np.iinfo(np.int64).max)
     np.minimum.at(least, which, doc)
     least = least[which]
-    hit, at = (doc > least) | several, np.cumsum(count)[:-1]
-    rows = [(s, planes(w[k]), planes(m[k]), None) for s, w, m, k in zip(pdf["slice"], parts, np.split(least, at), np.split(hit, at), strict=True) if k.any()]
-    return pd.DataFrame(rows, columns=["slice", "a", "b", "c"])
+    return _answers(pdf, (doc > least) | several, w, least)
 
 
 def _removed(window: int, with_text: bool):
@@ -286,11 +349,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, wi
     """
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block: window >= 2 * block - 1")
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(8, -(-total // min(BUCKET_BYTES[1], max(BUCKET_BYTES[0], total // MANY_BUCKETS))))
+    several = max(1, -(-buckets // COARSE))
     with scratch():
-        packed = texts.mapInArrow(_probes(buckets, window, block), _PACKED)
+        packed = _by_bucket(texts.mapInArrow(_probes(buckets, several, window, block), _PACKED), several, "<u4", 2)
         matched = packed.groupBy("bucket").applyInPandas(_match, "slice long, a binary, b binary, c binary")
         own = matched.groupBy("slice").applyInPandas(_by_document, "doc_id long, text_key binary, n_words long, full_sha binary, anchors binary, copies int")
         own = own.select("doc_id", "text_key", "n_words", "full_sha", "anchors", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
@@ -300,7 +365,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, wi
         with_anchors = own.where("anchors is not null and doc_id is not null").select(*same, "anchors").dropDuplicates(same)
         ids = written(with_anchors.select(same), "ss-with-anchors")
         some = texts.join(F.broadcast(ids), same, "left_semi") if ids.count() <= MOST_BROADCAST else texts
-        entries = with_anchors.join(some.dropDuplicates(same), same).mapInArrow(_windows(buckets, window, block), _PACKED)
+        entries = with_anchors.join(some.dropDuplicates(same), same).mapInArrow(_windows(buckets, several, window, block), _PACKED)
+        entries = _by_bucket(entries, several, "<u8", 1)
         found = entries.groupBy("bucket").applyInPandas(_repeated, "slice long, a binary, b binary, c binary")
         cut = keep(written(found.groupBy("slice").applyInPandas(*_removed(window, with_text)), "ss-cut"))
     out = own.drop("anchors").join(cut, same, "left")

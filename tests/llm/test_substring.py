@@ -5,7 +5,9 @@ from collections import Counter
 import pytest
 from helpers import odd_docs, words_of
 
+from colsieve.llm import substring
 from colsieve.llm.substring import planes, remove_repeats, unplanes
+from colsieve.llm.text import slices
 
 
 def brute(docs, window):
@@ -45,8 +47,12 @@ def test_slices_of_equal_content(spark):
     assert Counter(r.doc_id for r in remove_repeats(one[0].union(one[1])).collect()) == Counter([None, 0])
 
 
-@pytest.mark.parametrize(("window", "block"), [(50, 25), (7, 4), (9, 2)])
-def test_planted_passages(spark, window, block):
+@pytest.mark.parametrize(("window", "block", "coarse"), [(50, 25, 4096), (7, 4, 3), (9, 2, 4096), (50, 25, 1)])
+def test_planted_passages(spark, monkeypatch, window, block, coarse):
+    """Buckets dealt at once, and in two steps; many small slices."""
+    monkeypatch.setattr(substring, "COARSE", coarse)
+    monkeypatch.setattr(substring, "REPACKED", 50)
+    monkeypatch.setattr(substring, "slices", lambda batch, column: slices(batch, column, 2000))
     rng = random.Random(window)
     passages = [[f"p{k}w{j}" for j in range(rng.randrange(window - 2, 3 * window))] for k in range(6)]
     docs = []
@@ -61,6 +67,25 @@ def test_planted_passages(spark, window, block):
     assert {i: tuple(v) for i, v in got.items()} == brute(docs, window)
 
 
+@pytest.mark.parametrize("coarse", [4096, 3])
+def test_one_doc_id_over_different_texts(spark, monkeypatch, coarse):
+    """Every row gets the answer for its own text, and rows of one doc_id take nothing from each other."""
+    monkeypatch.setattr(substring, "COARSE", coarse)
+    a, c = " ".join(f"a{k}" for k in range(60)), " ".join(f"c{k}" for k in range(20))
+    docs = [(1, a), (2, a), (2, c), (2, a + " tail"), (3, c + " " + a), (3, a), (3, a), (0, c), (None, a), (3, ""), (4, None)]
+    got = remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), with_text=True).collect()
+    want = []
+    for i, t in docs:
+        w, gone = (t or "").split(), set()
+        earlier = {tuple(x[k : k + 50]) for j, u in docs if i is not None and j is not None and j < i for x in [(u or "").split()] for k in range(len(x) - 49)}
+        for k in range(len(w) - 49):
+            if tuple(w[k : k + 50]) in earlier:
+                gone.update(range(k, k + 50))
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        want.append((str(i), len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept if gone else None))
+    assert sorted(map(str, want)) == sorted(str((str(r.doc_id), *r[1:])) for r in got)
+
+
 def test_window_must_hold_a_block(none):
     with pytest.raises(ValueError):
         remove_repeats(none, 48, 25)
