@@ -1,13 +1,16 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Method. A text's UTF-8 bytes are read in blocks of ``BLOCK``; a gated recurrent unit runs over each block in either
-direction, and both states label every byte with language probabilities. A document's probabilities are the mean over
-its letter bytes (ASCII letters and bytes of longer characters), or over all bytes if it has no such byte. The network
-is trained in numpy by backpropagation through time, with Adam and a fixed seed.
-
-Scale. Training takes at most ``SAMPLE_DOCS`` labelled documents, chosen by a hash of doc_id, and ``SAMPLE_BLOCKS``
-blocks of each, so it costs the same at any input. Prediction reads every block of every text in one pass without a
-shuffle; a text of any length is blocks like any other, and work arrays are bounded by ``BATCH`` blocks.
+Method. A text's UTF-8 bytes are read in blocks of ``BLOCK`` with ``CONTEXT`` bytes of the text before and after each, over which the
+states warm up; a gated recurrent unit runs over each block in either direction, and both states label every byte of the block with
+language probabilities. A document's probabilities are the mean over its letter bytes (ASCII letters and bytes of longer
+characters), or over all bytes if it has no such byte. The network is trained in numpy by backpropagation through time, with Adam
+and a fixed seed.
+
+Scale. The rows of the training sample are blocks: of each language as many blocks as its share of ``SAMPLE_BLOCKS`` (at least
+``LEAST_BLOCKS``), those with the smallest hash among all blocks of all labelled documents, wherever they lie in a text; copies of a text count once. So
+training costs the same at any input and any length of text, and a rare language has its share; the number of languages must be modest.
+Tasks find the blocks; the driver gets these bytes only. Prediction reads every block of every text in one pass without
+a shuffle; a text of any length is blocks like any other, and work arrays are bounded by ``BATCH`` blocks.
 """
 
 from __future__ import annotations
@@ -17,28 +20,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import local_frame, small_batches
 from .text import joined_buffer, slices
 
-BLOCK, HIDDEN, BATCH = 64, 8, 2048
-SAMPLE_DOCS, SAMPLE_BLOCKS = 1200, 5
+BLOCK, CONTEXT, HIDDEN, BATCH = 128, 8, 8, 2048
+SAMPLE_BLOCKS, LEAST_BLOCKS = 4000, 50
 PAD = 256
 UNDETERMINED = "und"
 _LETTER = np.zeros(257, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def blocks_of(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All blocks of all texts, padded (blocks x BLOCK), and the text each belongs to."""
+def block_starts(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the blocks of all texts begin, and the text each belongs to."""
     size = np.diff(at)
     count = -(-size // BLOCK)
     text = np.repeat(np.arange(len(size)), count)
-    start = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * BLOCK + at[:-1][text]
-    place = start[:, None] + np.arange(BLOCK)
-    inside = place < at[1:][text][:, None]
-    at_place = buf[np.minimum(place, len(buf) - 1)].astype(np.int64) if len(buf) else place
-    return np.where(inside, at_place, PAD), text
+    return (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * BLOCK + at[:-1][text], text
+
+
+def blocks_at(buf: np.ndarray, at: np.ndarray, start: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Some blocks with their context (blocks x (BLOCK + 2 CONTEXT)), padded outside the text."""
+    place = start[:, None] + np.arange(-CONTEXT, BLOCK + CONTEXT)
+    inside = (place >= at[text][:, None]) & (place < at[text + 1][:, None])
+    return np.where(inside, buf[np.clip(place, 0, max(len(buf) - 1, 0))].astype(np.int16), PAD) if len(buf) else np.full(place.shape, PAD)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -97,11 +105,12 @@ class Network:
         z /= z.sum(axis=1, keepdims=True)
         return z.reshape(*x.shape, -1)
 
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy over all letter bytes of x (steps x blocks) with block labels y, and its gradients."""
+    def gradients(self, x: np.ndarray, y: np.ndarray, context: int = CONTEXT) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross-entropy over the letter bytes of x (steps x blocks) but for the context, with block labels y, and its gradients."""
         tapes: dict = {}
         p, h = self.probabilities(x, tapes), HIDDEN
         weight = _LETTER[x].astype(np.float32)
+        weight[:context] = weight[len(x) - context :] = 0
         weight /= max(1.0, weight.sum())
         dz = p.copy()
         blocks = np.arange(len(y))
@@ -133,7 +142,7 @@ class Network:
 
 
 def train(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = 8, rate: float = 0.01, batch: int = 256, seed: int = 11) -> Network:
-    """Trains on blocks x (blocks x BLOCK) with labels y."""
+    """Trains on blocks x (blocks x (BLOCK + 2 CONTEXT)) with labels y."""
     net, rng = Network.fresh(classes, seed), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.params.items()}
     v = {k: np.zeros_like(p) for k, p in net.params.items()}
@@ -153,29 +162,19 @@ def train(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = 8, rate: flo
     return net
 
 
-def training_blocks(texts: list[str], labels: list[int], most: int = SAMPLE_BLOCKS) -> tuple[np.ndarray, np.ndarray]:
-    """Up to ``most`` blocks of each text, evenly spread over it."""
-    buf, at = joined_buffer(pa.array(texts, pa.string()))
-    x, text = blocks_of(buf, at)
-    first = np.searchsorted(text, np.arange(len(texts) + 1))
-    chosen = [np.unique(np.linspace(first[i], first[i + 1] - 1, most).astype(int)) for i in range(len(texts)) if first[i + 1] > first[i]]
-    chosen = np.concatenate(chosen) if chosen else np.empty(0, int)
-    return x[chosen], np.array(labels, np.int64)[text[chosen]]
-
-
 def pooled(net: Network, buf: np.ndarray, at: np.ndarray, classes: int) -> np.ndarray:
     """(texts x classes) mean probabilities; rows of empty texts are 0."""
     total, weight = np.zeros((len(at) - 1, classes)), np.zeros(len(at) - 1)
-    for low in range(0, len(at) - 1, 256):  # some texts at a time, and of those some blocks at a time
-        part = at[low : low + 257]
-        x, text = blocks_of(buf[part[0] : part[-1]], part - part[0])
-        letters = np.bincount(text, _LETTER[x].sum(axis=1), len(part) - 1) > 0
-        for i in range(0, len(x), BATCH):
-            b, of = x[i : i + BATCH], text[i : i + BATCH]
-            counts = np.where(letters[of][:, None], _LETTER[b], b != PAD).astype(np.float32)
-            p = np.einsum("tbk,bt->bk", net.probabilities(np.ascontiguousarray(b.T)), counts)
-            np.add.at(total, low + of, p)
-            np.add.at(weight, low + of, counts.sum(axis=1))
+    letters = np.array([_LETTER[buf[i:j]].any() for i, j in zip(at[:-1], at[1:], strict=True)], bool)
+    start, text = block_starts(at)
+    for i in range(0, len(start), BATCH):
+        of = text[i : i + BATCH]
+        x = blocks_at(buf, at, start[i : i + BATCH], of)
+        b = x[:, CONTEXT : CONTEXT + BLOCK]
+        counts = np.where(letters[of][:, None], _LETTER[b], b != PAD).astype(np.float32)
+        p = np.einsum("tbk,bt->bk", net.probabilities(np.ascontiguousarray(x.T))[CONTEXT : CONTEXT + BLOCK], counts)
+        np.add.at(total, of, p)
+        np.add.at(weight, of, counts.sum(axis=1))
     return total / np.maximum(weight, 1)[:, None]
 
 
@@ -184,7 +183,33 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def predict(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def training_sample(rows: DataFrame, sample_blocks: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, blocks (blocks x (BLOCK + 2 CONTEXT)) and their labels from rows (doc_id, text, lang) to learn from."""
+    usable = rows.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull())
+    usable = usable.withColumn("n", F.ceil(F.octet_length("text") / BLOCK).cast("int")).withColumn("key", F.xxhash64("text"))
+    totals = usable.groupBy("lang", "key").agg(F.max("n").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))  # copies count once
+    totals = {r["lang"]: r["n"] for r in totals.collect()}
+    langs = sorted(totals)
+    if not langs:
+        return [], np.empty((0, BLOCK + 2 * CONTEXT), np.int64), np.empty(0, np.int64)
+    most = max(LEAST_BLOCKS, sample_blocks // len(langs))
+    # a share of all blocks in which there are most with near certainty; the smallest of them by hash are taken
+    shares = [(lang, i, min(1.0, (most + 5 * most**0.5 + 10) / totals[lang])) for i, lang in enumerate(langs)]
+    usable = usable.join(F.broadcast(local_frame(rows.sparkSession, shares, lang=pa.string(), label=pa.int32(), share=pa.float64())), "lang")
+    order = lambda i: F.shiftrightunsigned(F.xxhash64("key", i, F.lit(3)), 11) * 2.0**-53
+    blocks = usable.select("label", "key", "text", F.explode(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: order(i) < F.col("share"))).alias("i"))
+    begin = F.greatest(F.col("i") * BLOCK - CONTEXT, F.lit(0))
+    raw = F.substring(F.col("text").cast("binary"), begin + 1, (F.col("i") + 1) * BLOCK + CONTEXT - begin)
+    blocks = blocks.select("label", "key", "i", order(F.col("i")).alias("h"), (F.col("i") * BLOCK - begin).alias("left"), raw.alias("raw")).distinct()
+    place = F.row_number().over(W.partitionBy("label").orderBy("h", "key", "i", "raw"))
+    got = blocks.withColumn("place", place).where(F.col("place") <= most).orderBy("label", "place").collect()
+    x = np.full((len(got), BLOCK + 2 * CONTEXT), PAD, np.int64)
+    for k, r in enumerate(got):
+        x[k, CONTEXT - r["left"] : CONTEXT - r["left"] + len(r["raw"])] = np.frombuffer(bytes(r["raw"]), np.uint8)
+    return langs, x, np.array([r["label"] for r in got], np.int64)
+
+
+def predict(docs: DataFrame, sample_blocks: int = SAMPLE_BLOCKS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of docs (doc_id, text, lang, ...).
 
     Learns from text and lang of rows that have both and aren't held out. lang_pred is a language learned, or ``und``
@@ -192,11 +217,9 @@ def predict(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     probability of lang_pred. Repeated rows are predicted alike. Columns other than doc_id, text and lang are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    usable = rows.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull())
-    ids = usable.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample_docs)  # bounded, so it is broadcast
-    sample = sorted({(r["doc_id"], r["text"], r["lang"]) for r in usable.join(F.broadcast(ids), "doc_id", "left_semi").collect()})
-    langs = sorted({x[2] for x in sample})
-    net = train(*training_blocks([x[1] for x in sample], [langs.index(x[2]) for x in sample]), len(langs)) if langs else None
+    small_batches(docs.sparkSession)
+    langs, x, y = training_sample(rows, sample_blocks)
+    net = train(x, y, len(langs)) if langs else None
     shared = docs.sparkSession.sparkContext.broadcast(None if net is None else net.params)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

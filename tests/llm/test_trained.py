@@ -6,10 +6,12 @@ import zlib
 from urllib.parse import urlsplit
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import odd_docs, with_clashes
 
-from colsieve.llm import langid, toxicity, urlfilter
+from colsieve.llm import common, langid, toxicity, urlfilter
+from colsieve.llm.text import joined_buffer
 
 
 def toy(n=600, seed=0):
@@ -94,7 +96,9 @@ def test_scores_against_a_plain_loop(spark):
     assert again[0].shape == model.weights.shape
     for r, s in zip(rows, seen, strict=True):
         z = sum(model.weights[model.index[f]] for f in s if f in model.index)
-        assert model.score(r[1]) == pytest.approx([1 / (1 + math.exp(t - z)) for t in model.thresholds])
+        some = any(f in model.index for f in s)
+        assert model.score(r[1]) == pytest.approx([1 / (1 + math.exp(t - z)) if some else 0 for t in model.thresholds])
+    assert 0 < sum(any(f in model.index for f in s) for s in seen)
 
 
 def test_one_doc_id_many_times(spark, none):
@@ -112,7 +116,7 @@ def test_gradients_of_the_network(monkeypatch):
     monkeypatch.setattr(np, "float32", np.float64)
     x = np.random.default_rng(0).choice([65, 97, 100, 200, 32, langid.PAD], size=(7, 4))
     y = np.array([0, 1, 2, 1])
-    _, g = net.gradients(x, y)
+    _, g = net.gradients(x, y, 1)
     rng = np.random.default_rng(2)
     for k, p in net.params.items():
         for _ in range(6):
@@ -121,9 +125,9 @@ def test_gradients_of_the_network(monkeypatch):
                 at = (int(rng.choice(x.ravel())), at[1])
             old, eps = p[at], 1e-5
             p[at] = old + eps
-            up, _ = net.gradients(x, y)
+            up, _ = net.gradients(x, y, 1)
             p[at] = old - eps
-            down, _ = net.gradients(x, y)
+            down, _ = net.gradients(x, y, 1)
             p[at] = old
             assert g[k][at] == pytest.approx((up - down) / (2 * eps), rel=1e-3, abs=1e-7), (k, at)
 
@@ -144,13 +148,59 @@ def test_language(spark, odd, none):
 
 
 def test_blocks_cover_the_whole_text():
-    import pyarrow as pa
-
-    from colsieve.llm.text import joined_buffer
-
-    texts = ["", "a" * 63, "b" * 64, "c" * 65, None, "d" * 500]
-    x, text = langid.blocks_of(*joined_buffer(pa.array(texts)))
-    assert [int((x[text == i] != langid.PAD).sum()) for i in range(6)] == [0, 63, 64, 65, 0, 500]
+    texts = ["", "a" * 127, "b" * 128, "c" * 129, None, "d" * 500]
+    buf, at = joined_buffer(pa.array(texts))
+    start, text = langid.block_starts(at)
+    x = langid.blocks_at(buf, at, start, text)
+    inside = x[:, langid.CONTEXT : langid.CONTEXT + langid.BLOCK]
+    assert [int((inside[text == i] != langid.PAD).sum()) for i in range(6)] == [0, 127, 128, 129, 0, 500]
+    assert {chr(c) for c in x[text == 3].ravel() if c != langid.PAD} == {"c"}  # the context never leaves the text
+
+
+def test_pooled_probabilities_against_a_plain_loop():
+    """Every byte of every block by scalar recurrences, averaged over letters."""
+    net, n = langid.Network.fresh(3, 5), langid.HIDDEN
+    texts = ["plain words", "", "12 .. 34", "é" * 150, "x1 " * 120]
+    got = langid.pooled(net, *joined_buffer(pa.array(texts)), 3)
+    p = {k: v.astype(float) for k, v in net.params.items()}
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for text, row in zip(texts, got, strict=True):
+        raw, sums, weight = text.encode(), np.zeros(3), 0
+        letter = lambda c: c >= 128 or chr(c).isalpha()
+        some = any(map(letter, raw))
+        for begin in range(0, len(raw), langid.BLOCK):
+            places = range(begin - langid.CONTEXT, begin + langid.BLOCK + langid.CONTEXT)
+            codes = [raw[i] if 0 <= i < len(raw) else langid.PAD for i in places]
+            states = {}
+            for d in "fb":
+                h = np.zeros(n)
+                for t in range(len(codes)) if d == "f" else reversed(range(len(codes))):
+                    given, rec = p["X" + d][codes[t]], h @ p["U" + d]
+                    z, r = sig(given[:n] + rec[:n] + p["B" + d][:n]), sig(given[n : 2 * n] + rec[n : 2 * n] + p["B" + d][n : 2 * n])
+                    h = z * h + (1 - z) * np.tanh(given[2 * n :] + r * (rec[2 * n :] + p["B" + d][2 * n :]))
+                    states[d, t] = h
+            for t, i in enumerate(places):
+                if begin <= i < min(begin + langid.BLOCK, len(raw)) and (letter(raw[i]) or not some):
+                    e = np.exp(np.concatenate([states["f", t], states["b", t]]) @ p["V"] + p["C"])
+                    sums, weight = sums + e / e.sum(), weight + 1
+        assert row == pytest.approx(sums / max(weight, 1), abs=1e-4)
+
+
+def test_training_sample(spark):
+    """Every language has its share, blocks come from all over long texts, held-out rows give none, repeated rows give one."""
+    letters = {"en": "abcdefgh", "xx": "ijklmnop", "rare": "qrstuvwx"}
+    rows = [(i, f"{i} " + letters[lang][i % 8] * n, lang) for lang, ids, n in (("en", range(300), 3000), ("xx", range(300, 400), 900), ("rare", range(400, 403), 20_000)) for i in ids]
+    rows += [rows[0]] * 400 + [(None, "z" * 500, "en"), (5, None, "en"), (6, "12", "en"), (7, "zz", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, x, y = langid.training_sample(docs, 300)
+    assert langs == ["en", "rare", "xx"] and all(80 <= (y == k).sum() <= 100 for k in range(3))
+    for k, lang in enumerate(langs):
+        assert {chr(c) for c in x[y == k].ravel() if c != langid.PAD} <= set(letters[lang] + " 0123456789")
+    left = (x[:, : langid.CONTEXT] != langid.PAD).all(axis=1)
+    assert 0.5 < left.mean() < 1  # some are first blocks, most are not
+    assert len(np.unique(np.concatenate([x, y[:, None]], axis=1), axis=0)) > 20
+    again = langid.training_sample(docs.repartition(7), 300)
+    assert (again[1] == x).all() and (again[2] == y).all()
 
 
 URLS = [
@@ -211,9 +261,27 @@ def test_bayes_learns_from_rules(spark):
     assert (got[1000].verdict, got[1001].verdict) == ("block", "allow")
 
 
+def test_held_out_pages(spark):
+    """Ruled pages that are held out get a verdict from the others: here the words tell it exactly."""
+    rows = [(i, f"http://{'casino' if i % 3 else 'garden'}.com/{'de' if i % 3 else 'fr'}/{i % 7}", None) for i in range(300)] + [(None, None, None)]
+    got = urlfilter.held_out_quality(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
+    held = [i for i, *_ in rows if i is not None and zlib.crc32(str(i).encode()) % 5 == 0]
+    assert (got["pages"], got.blocked, got.caught, got.wrong) == (len(held), sum(i % 3 > 0 for i in held), sum(i % 3 > 0 for i in held), 0)
+    assert (got.precision, got.recall) == (1, 1)
+    assert urlfilter.held_out_quality(spark.createDataFrame(rows[-1:], "page_id long, url string, html string")).first().recall is None
+
+
+def test_a_long_url(spark):
+    """One host label of many letters and a path of many tokens."""
+    url = "http://" + "casinowin" * 60 + ".net/" + "/".join(f"t{i}" for i in range(20_000))
+    rows = [(1, url, "<title>casino win</title>"), (2, "http://casino.com/de/t1", None), (3, "http://garden.com/fr/x", "<title>" + "y" * 3000 + "</title>")]
+    got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].verdict == "block" and len(got[1].path) > 100_000
+
+
 def test_every_token_weighs(spark, monkeypatch):
     """More tokens than were once kept: the rarest and last by alphabet decide a verdict, and all scores are those of plain naive Bayes."""
-    monkeypatch.setattr(urlfilter, "HOT", 100)
+    monkeypatch.setattr(common, "HOT", 100)
     paths = [("com", "de", [f"b{i}x{j}" for j in range(1000)]) for i in range(105)] + [("com", "fr", [f"a{i}x{j}" for j in range(1000)]) for i in range(106)]
     paths[0][2].append("zzz")
     rows = [(i, f"http://{h}/{p}/{'/'.join(t)}") for i, (h, p, t) in enumerate(paths)] + [(1000, "http://net/zzz"), (1001, "http://net/never/b7x7"), (1002, "http://net"), (1003, "http://net/a5x5/a5x6/b1x1"), (1003, "http://net/zzz/zzz")]
@@ -246,7 +314,7 @@ def test_every_word_splits(spark):
 
 def test_splits_of_a_table(spark, monkeypatch):
     """Names split by a table of words as by all words at once, also by words of more than 24 letters."""
-    monkeypatch.setattr(urlfilter, "HOT", 5)
+    monkeypatch.setattr(common, "HOT", 5)
     monkeypatch.setattr(urlfilter, "BATCH_CHARS", 500)
     rng = random.Random(3)
     counts = {"".join(rng.choice("abé") for _ in range(rng.randrange(1, 7))): rng.randrange(1, 50) for _ in range(150)} | {"a" * 12 + "b" * 20: 3}
