@@ -164,7 +164,8 @@ TEXT_ROWS = 1000
 
 def small_batches(spark: SparkSession) -> None:
     """Limits the session's Arrow batches to ``TEXT_ROWS`` rows from now on, as lazy results are planned later. It changes no result."""
-    spark.conf.set(_ARROW_ROWS, str(min(TEXT_ROWS, int(spark.conf.get(_ARROW_ROWS)) or TEXT_ROWS)))
+    if not 0 < int(spark.conf.get(_ARROW_ROWS)) <= TEXT_ROWS:
+        spark.conf.set(_ARROW_ROWS, str(TEXT_ROWS))
 
 
 @contextlib.contextmanager

@@ -9,18 +9,18 @@ and a fixed seed.
 Scale. The rows of the training sample are blocks: of each language as many blocks as its share of ``SAMPLE_BLOCKS`` (at least
 ``LEAST_BLOCKS``), those with the smallest hash among all blocks of all labelled documents, wherever they lie in a text; copies of a text count once. So
 training costs the same at any input and any length of text, and a rare language has its share; the number of languages must be modest.
-Tasks find the blocks; the driver gets these bytes only. Prediction reads every block of every text in one pass without
+Tasks find the blocks; the driver gets these and a few more by hash, no texts. Prediction reads every block of every text in one pass without
 a shuffle; a text of any length is blocks like any other, and work arrays are bounded by ``BATCH`` blocks.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import local_frame, small_batches
@@ -201,8 +201,8 @@ def training_sample(rows: DataFrame, sample_blocks: int) -> tuple[list[str], np.
     begin = F.greatest(F.col("i") * BLOCK - CONTEXT, F.lit(0))
     raw = F.substring(F.col("text").cast("binary"), begin + 1, (F.col("i") + 1) * BLOCK + CONTEXT - begin)
     blocks = blocks.select("label", "key", "i", order(F.col("i")).alias("h"), (F.col("i") * BLOCK - begin).alias("left"), raw.alias("raw")).distinct()
-    place = F.row_number().over(W.partitionBy("label").orderBy("h", "key", "i", "raw"))
-    got = blocks.withColumn("place", place).where(F.col("place") <= most).orderBy("label", "place").collect()
+    found = sorted(blocks.collect(), key=lambda r: (r["label"], r["h"], r["key"], r["i"], bytes(r["raw"])))  # little more than most of each
+    got = [r for _, of in itertools.groupby(found, lambda r: r["label"]) for r in itertools.islice(of, most)]
     x = np.full((len(got), BLOCK + 2 * CONTEXT), PAD, np.int64)
     for k, r in enumerate(got):
         x[k, CONTEXT - r["left"] : CONTEXT - r["left"] + len(r["raw"])] = np.frombuffer(bytes(r["raw"]), np.uint8)
