@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import local_frame, scratch, small_batches, written
+from .common import scratch, small_batches, written
 from .text import slices
 
 SAMPLE_ROWS = 6000
@@ -136,15 +136,19 @@ def fit(sample: DataFrame, **training) -> Model:
         counts = counts.where(f"a >= {LEAST_ROWS}").select("feature", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / c)).alias("strength"))
         best = counts.orderBy(F.desc(F.abs("strength")), "feature").limit(MOST_FEATURES).collect()
         index = {r["feature"]: i for i, r in enumerate(best)}
-        chosen = local_frame(numbered.sparkSession, list(index.items()), feature=pa.string(), i=pa.int32())
-        has = rows.select("row", F.explode("features").alias("feature")).join(F.broadcast(chosen), "feature").groupBy("row").agg(F.sort_array(F.collect_list("i")).alias("ids"))
-        got = rows.select("row", "toxic").join(has, "row", "left").orderBy("row").collect()  # at most MOST_FEATURES numbers a row
+
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = [sorted(index[f] for f in found if f in index) for found in batch.column("features").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("toxic"), pa.array(ids, pa.list_(pa.int32()))], names=["row", "toxic", "ids"])
+
+        got = rows.mapInArrow(chosen, "row long, toxic int, ids array<int>").orderBy("row").collect()  # at most MOST_FEATURES numbers a row
     strong = {i: r["feature"].rstrip("*")[:3] for i, r in enumerate(best) if r["strength"] > 4 and r["odds"] > 3}
     toxic = np.array([r["toxic"] for r in got])
-    marked = np.array([len({strong[i] for i in r["ids"] or () if i in strong}) for r in got])
+    marked = np.array([len({strong[i] for i in r["ids"] if i in strong}) for r in got])
     grade = np.where(toxic == 0, 0, np.where(marked <= 1, 1, np.where(marked <= 3, 2, 3)))
-    col = np.array([i for r in got for i in r["ids"] or ()], np.int64)
-    row = np.repeat(np.arange(len(got)), [len(r["ids"] or ()) for r in got])
+    col = np.array([i for r in got for i in r["ids"]], np.int64)
+    row = np.repeat(np.arange(len(got)), [len(r["ids"]) for r in got])
     return Model(index, *train(col, row, grade, len(index), **training))
 
 
