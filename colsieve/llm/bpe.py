@@ -31,7 +31,7 @@ from .text import slices, trim
 #: Fixed value: the byte-level pre-tokenizer's published pattern.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONGEST_CACHED, MOST_CACHED = 48, 300_000
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 NONE, NO_PAIR = 1 << 62, 1 << 30
 
 
